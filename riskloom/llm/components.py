@@ -1,0 +1,30 @@
+"""Connected components of a graph given as a table of links."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import materialize
+
+
+def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """``links`` (a, b) of longs, in any direction, repeats allowed; returns (node, root), one row per node that
+    has a link, with the smallest node of its component as root.
+
+    Each round takes the smallest label among a node and its neighbours and then follows that label once, so
+    labels travel in leaps that double. Every step is a join or an aggregate on the node key with map-side
+    combining; tables between rounds are written to the shared folder. Nothing is collected but one counter."""
+    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    both = materialize(both, "links")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("root")), "labels")
+    for _ in range(max_rounds):
+        near = both.join(labels.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        best = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
+        leap = labels.select(F.col("node").alias("root"), F.col("root").alias("far"))
+        step = best.join(leap, "root", "left").select("node", "old", F.least("root", "far").alias("root"))
+        step = materialize(step, "labels")
+        labels = step.select("node", "root")
+        if step.filter("old <> root").isEmpty():
+            return labels
+    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
