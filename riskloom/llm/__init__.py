@@ -1 +1,11 @@
-"""Operators for preparing text corpora at scale; nothing else in the library imports this subpackage."""
+"""Operators for preparing text corpora at scale; nothing else in the library imports this subpackage.
+
+Functions that run in Python workers are sent by value, so executors need only the packages these modules import, not
+this library itself.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
