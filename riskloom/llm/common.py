@@ -12,6 +12,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+#: By application, the folder of a local run that names none.
+_LOCAL: dict[str, str] = {}
+
 #: Rows up to which a small table is broadcast, after it has been counted.
 BROADCAST_ROWS = 50_000
 
@@ -23,9 +26,10 @@ def shared_dir(spark: SparkSession) -> str:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    found = tempfile.mkdtemp(prefix="riskloom-")
-    spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = tempfile.mkdtemp(prefix="riskloom-")
+    return _LOCAL[app]
 
 
 def shared_path(spark: SparkSession, label: str) -> str:

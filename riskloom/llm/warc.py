@@ -138,10 +138,10 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     found = materialize(_candidates(spark, path), "warc-candidates")
     good = materialize(_reachable(found), "warc-records")
     chunks = _chunks(spark, path)
-    if found.count() == good.count() and good.filter("size <> whole").isEmpty():
+    if found.count() == good.count() and good.filter("size < whole").isEmpty():
         # every chunk but the empty one before a file's first magic is a whole record: nothing to join
         return _records(chunks.filter(F.octet_length("value") > 0).select("file", "value"))
-    whole = good.filter("size = whole").select("file", "seq", "pos")
+    whole = good.filter("size >= whole").select("file", "seq", "pos")
     rows = chunks.join(whole, ["file", "seq"]).select("file", "value")
     # records that hold a magic: their chunks are joined again, each owned by the record that starts last before it
     order = Window.partitionBy("file").orderBy("pos")

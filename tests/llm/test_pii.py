@@ -1,0 +1,65 @@
+import itertools
+
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from riskloom.llm import pii
+
+KEY = b"0123456789abcdef"
+TEXT = (
+    "Mr. John Smith wrote from und.34@mail7.example.com, +1 (017) 555-7713, 97.51.17.173; card 4532015112830366, "
+    "DE89 3704 0044 0532 0130 00, 123-45-6789. Alice Cooper and Анна Каренина; fe80:0:0:0:1:2:3:4. On 2024-01-05, v1.2.3, 4532015112830367."
+)
+
+
+def test_types_formats_and_places():
+    kinds = {TEXT[a:b]: k for a, b, k in pii.entities(TEXT)}
+    assert kinds == {
+        "John Smith": "person", "und.34@mail7.example.com": "email", "+1 (017) 555-7713": "phone", "97.51.17.173": "ipv4", "4532015112830366": "card",
+        "DE89 3704 0044 0532 0130 00": "iban", "123-45-6789": "ssn", "Alice Cooper": "person", "Анна Каренина": "person", "fe80:0:0:0:1:2:3:4": "ipv6",
+    }
+    out = pii.surrogate(TEXT, KEY)
+    assert (out.entities, out.distinct) == (10, 10)
+    again = [(out.text[a:b], k) for a, b, k in pii.entities(out.text)]
+    assert [k for _, k in again] == list(kinds.values()) or sorted(k for _, k in again) == sorted(kinds.values())
+    assert not set(kinds) & {t for t, _ in again}
+    for kept in ("On 2024-01-05, v1.2.3, 4532015112830367.", "Mr. ", "wrote from "):
+        assert kept in out.text
+    names = [t.split()[0] for t, k in again if k == "person"]
+    assert names[0] in pii.NAMES["latin", "m"] and names[1] in pii.NAMES["latin", "f"] and names[2] in pii.NAMES["cyrillic", "f"]
+
+
+def test_equal_entities_stay_equal_in_all_documents():
+    one, two = pii.surrogate("a@b.org x a@b.org y c@b.org", KEY), pii.surrogate("zz c@b.org", KEY)
+    first, second, third = (one.text[a:b] for a, b, _ in pii.entities(one.text))
+    assert first == second != third
+    assert two.text == f"zz {third}"
+    assert pii.surrogate("a@b.org", b"another key, 16+").text != first
+
+
+def test_surrogates_of_a_format_never_meet():
+    small = [f"{a}{b}-{c}" for a, b, c in itertools.product("0123456789", repeat=3)]
+    assert len({pii._shaped(s, KEY, "x") for s in small}) == len(small)
+    given_names = [n for names in pii.NAMES.values() for n in names]
+    assert len({pii._name(n, KEY, "person") for n in given_names}) == len(given_names)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 25), min_size=1, max_size=9), st.lists(st.integers(0, 25), min_size=1, max_size=9))
+def test_permutation(a, b):
+    x, y = pii.permute(a, [26] * len(a), KEY, "t"), pii.permute(b, [26] * len(b), KEY, "t")
+    assert all(0 <= v < 26 for v in x)
+    assert (x == y) == (a == b) or len(a) != len(b)
+
+
+def test_table(docs):
+    rows = [(1, TEXT), (2, None), (3, ""), (None, "none here"), (5, "a@b.org " * 20_000), (1, TEXT)]
+    got = pii.pseudonymize(docs(rows), KEY).collect()
+    by = {r.id: r for r in got}
+    assert len(got) == len(rows)
+    assert by[2].text == by[3].text == "" and by[None].text == "none here" and by[None].n_entities == 0
+    assert (by[5].n_entities, by[5].n_distinct) == (20_000, 1)
+    assert pii.pseudonymize(docs([]), KEY).count() == 0
+    with pytest.raises(ValueError, match="key"):
+        pii.pseudonymize(docs(rows), b"short")
