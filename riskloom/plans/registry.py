@@ -20,3 +20,6 @@ def query(sql: str | None = None):
         return function
 
     return add
+
+
+from . import analysis, flow, ledgers, texts  # noqa: E402, F401  registers their queries
