@@ -79,9 +79,10 @@ def stamped(df: DataFrame) -> DataFrame:
 
 
 def least_trusted(*tiers: Column) -> Column:
-    rank = lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, TRUST_TIERS)), c).cast("int"), F.lit(len(TRUST_TIERS)))
-    worst = rank(tiers[0]) if len(tiers) == 1 else F.greatest(*map(rank, tiers))
-    return F.element_at(F.array(*map(F.lit, TRUST_TIERS)), F.greatest(F.lit(1), worst))
+    order = F.array(*map(F.lit, TRUST_TIERS))
+    # a tier that is unknown or missing counts as the least trusted
+    rank = lambda c: F.coalesce(F.nullif(F.array_position(order, c), F.lit(0)), F.lit(len(TRUST_TIERS))).cast("int")
+    return F.element_at(order, rank(tiers[0]) if len(tiers) == 1 else F.greatest(*map(rank, tiers)))
 
 
 def pinned(expected: dict[str, str], actual: dict[str, str]) -> list[str]:
