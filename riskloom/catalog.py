@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 SCHEMAS = ("app", "audit", "groundtruth", "eval", "external")
 #: What each role may do in each schema; all else is denied.
 GRANTS = {
-    "trace_app": {"app": ("SELECT", "INSERT", "UPDATE"), "audit": ("INSERT",)},
-    "trace_stream": {"app": ("SELECT",), "external": ("SELECT",)},
-    "trace_eval": {"app": ("SELECT",), "audit": ("SELECT",), "groundtruth": ("SELECT",), "eval": ("SELECT", "INSERT"), "external": ("SELECT", "INSERT")},
-    "trace_auditor": {"app": ("SELECT",), "audit": ("SELECT",), "eval": ("SELECT",)},
+    "app_role": {"app": ("SELECT", "INSERT", "UPDATE"), "audit": ("INSERT",)},
+    "stream_role": {"app": ("SELECT",), "external": ("SELECT",)},
+    "eval_role": {"app": ("SELECT",), "audit": ("SELECT",), "groundtruth": ("SELECT",), "eval": ("SELECT", "INSERT"), "external": ("SELECT", "INSERT")},
+    "auditor_role": {"app": ("SELECT",), "audit": ("SELECT",), "eval": ("SELECT",)},
 }
 #: Result families that no table may hold together.
 FORBIDDEN_UNION = ("EXTERNAL", "SYNTHETIC")

@@ -2,30 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-_OWN: dict[str, str] = {}
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """End the lineage at a table in the shared folder that spark.checkpoint.dir names. Only a local run that names none
-    gets a folder of its own."""
-    spark: SparkSession = df.sparkSession
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    app = spark.sparkContext.applicationId
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        found = _OWN.setdefault(app, "") or tempfile.mkdtemp(prefix="riskloom-")
-        _OWN[app] = found
-    path = f"{found.rstrip('/')}/riskloom/{app}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
+from riskloom.lineage import cut
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()

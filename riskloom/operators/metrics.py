@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.lineage import cut
+
 
 def confusion(df: DataFrame, score: str, label: str, threshold: float) -> DataFrame:
     said = F.col(score) >= threshold
@@ -21,7 +23,7 @@ def _prefix(df: DataFrame, order: str, sums: list[str], parts: int = 64) -> Data
     """``df`` (one row per value of ``order``) with running sums over descending ``order``. Rows are dealt by range, each
     range is summed on its own, and the sums of the ranges before it are added: no task sees all rows."""
     dealt = df.repartitionByRange(parts, F.col(order).desc()).withColumn("__p", F.spark_partition_id())
-    dealt = dealt.persist()
+    dealt = cut(dealt)
     totals = dealt.groupBy("__p").agg(*[F.sum(s).alias(f"__t_{s}") for s in sums])
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     carried = totals.select("__p", *[F.coalesce(F.sum(f"__t_{s}").over(before), F.lit(0)).alias(f"__c_{s}") for s in sums])

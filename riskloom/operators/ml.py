@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.lineage import cut
+
 
 def temporal_split(df: DataFrame, at: str, cut) -> tuple[DataFrame, DataFrame]:
     """(before the cut, from the cut on); never a random split, which would leak the future."""
@@ -92,7 +94,7 @@ def isolation_forest(df: DataFrame, features: list[str], trees: int = 100, sampl
 def percentile_rank(df: DataFrame, score: str, name: str) -> DataFrame:
     """``df`` with the share of rows whose score is lower, ties sharing theirs; from one row per distinct score."""
     steps = df.groupBy(score).agg(F.count(F.lit(1)).alias("__n"))
-    dealt = steps.repartitionByRange(64, score).withColumn("__p", F.spark_partition_id()).persist()
+    dealt = cut(steps.repartitionByRange(64, score).withColumn("__p", F.spark_partition_id()))
     totals = dealt.groupBy("__p").agg(F.sum("__n").alias("__t"))
     carried = totals.select("__p", F.coalesce(F.sum("__t").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__c"), F.sum("__t").over(Window.partitionBy()).alias("__all"))
     inside = Window.partitionBy("__p").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)

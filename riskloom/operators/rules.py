@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,20 @@ from pyspark.sql import functions as F
 from riskloom.functions.measures import band
 
 
+def _read(text: str) -> dict:
+    try:
+        return json.loads(text)
+    except ValueError:
+        try:
+            import yaml
+        except ImportError as e:
+            raise ValueError("rules that are not JSON need a YAML parser") from e
+        try:
+            return yaml.safe_load(text)
+        except yaml.YAMLError as e:
+            raise ValueError(str(e)) from e
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
@@ -26,8 +41,9 @@ class RuleSet:
 
     @classmethod
     def parse(cls, text: str) -> RuleSet:
-        """From JSON: {"version", "rules": [{"name", "when", "weight", "requires"}]}; names must differ."""
-        raw = json.loads(text)
+        """From JSON, or YAML where a parser is installed: {"version", "rules": [{"name", "when", "weight", "requires"}]};
+        names must differ."""
+        raw = _read(text)
         rules = tuple(Rule(r["name"], r["when"], int(r["weight"]), tuple(r.get("requires", ()))) for r in raw["rules"])
         if len({r.name for r in rules}) != len(rules):
             raise ValueError("two rules of one name")
@@ -48,6 +64,26 @@ class RuleSet:
         return RuleSet(self.version, tuple(r for r in self.rules if set(r.requires) <= coverage))
 
 
+class RuleFile:
+    """Rules that are read again when their file has changed; a file that does not parse leaves the old ones."""
+
+    def __init__(self, path: str):
+        self.path, self.seen, self.rules, self.error = path, None, None, ""
+
+    def current(self) -> RuleSet:
+        stamp = os.stat(self.path).st_mtime_ns
+        if stamp != self.seen:
+            try:
+                with open(self.path, encoding="utf-8") as f:
+                    self.rules, self.error = RuleSet.parse(f.read()), ""
+            except (ValueError, KeyError, TypeError) as e:
+                self.error = str(e)
+                if self.rules is None:
+                    raise
+            self.seen = stamp
+        return self.rules
+
+
 def scored(df: DataFrame, rules: RuleSet) -> DataFrame:
     out = df.withColumns({"hits": rules.hits(), "score": rules.score()})
     return out.withColumns({"band": band(F.col("score")), "rules_version": F.lit(rules.version)})

@@ -199,7 +199,7 @@ def label_join(spark, sf_dir):
     """Predictions and labels meet by id; reading labels takes the evaluation role."""
     from riskloom.catalog import Catalog
 
-    catalog = Catalog(spark, "trace_eval", {"groundtruth.labels": lambda s: table(s, sf_dir, "labels")})
+    catalog = Catalog(spark, "eval_role", {"groundtruth.labels": lambda s: table(s, sf_dir, "labels")})
     return table(spark, sf_dir, "documents").select("doc_id", "lang").join(catalog.read("groundtruth.labels"), "doc_id").select("doc_id", "toxic", "lang")
 
 

@@ -175,8 +175,8 @@ def status_errors(spark, sf_dir):
 
 
 @query("""
-    SELECT * FROM (VALUES ('trace_app', 'app', 'SELECT'), ('trace_app', 'app', 'INSERT'), ('trace_app', 'app', 'UPDATE'), ('trace_app', 'audit', 'INSERT'), ('trace_stream', 'app', 'SELECT'), ('trace_stream', 'external', 'SELECT'),
-        ('trace_eval', 'app', 'SELECT'), ('trace_eval', 'audit', 'SELECT'), ('trace_eval', 'groundtruth', 'SELECT'), ('trace_eval', 'eval', 'SELECT'), ('trace_eval', 'eval', 'INSERT'), ('trace_eval', 'external', 'SELECT'),
-        ('trace_eval', 'external', 'INSERT'), ('trace_auditor', 'app', 'SELECT'), ('trace_auditor', 'audit', 'SELECT'), ('trace_auditor', 'eval', 'SELECT')) g(role, schema_name, verb)""")
+    SELECT * FROM (VALUES ('app_role', 'app', 'SELECT'), ('app_role', 'app', 'INSERT'), ('app_role', 'app', 'UPDATE'), ('app_role', 'audit', 'INSERT'), ('stream_role', 'app', 'SELECT'), ('stream_role', 'external', 'SELECT'),
+        ('eval_role', 'app', 'SELECT'), ('eval_role', 'audit', 'SELECT'), ('eval_role', 'groundtruth', 'SELECT'), ('eval_role', 'eval', 'SELECT'), ('eval_role', 'eval', 'INSERT'), ('eval_role', 'external', 'SELECT'),
+        ('eval_role', 'external', 'INSERT'), ('auditor_role', 'app', 'SELECT'), ('auditor_role', 'audit', 'SELECT'), ('auditor_role', 'eval', 'SELECT')) g(role, schema_name, verb)""")
 def grant_matrix(spark, sf_dir):
     return catalog.grants(spark)

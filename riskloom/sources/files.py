@@ -76,6 +76,13 @@ def load_version(spark: SparkSession, path: str, version: int, schema: T.StructT
     return spark.read.schema(schema).parquet(f"{path}/version={version}")
 
 
+def laid_out(df: DataFrame, path: str, partition: str | None, cluster: list[str], files: int) -> None:
+    """Write for pruning: by directory of ``partition``, if any, and in ranges of ``cluster``, sorted within files, so
+    that a reader's filters skip files and row groups by their statistics."""
+    writer = df.repartitionByRange(files, *([partition] if partition else []), *cluster).sortWithinPartitions(*([partition] if partition else []), *cluster).write
+    (writer.partitionBy(partition) if partition else writer).parquet(path)
+
+
 def merge(existing: DataFrame | None, updates: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Upsert: the newest row per key of both; to be written as a new version, as plain files can't be merged."""
     both = updates if existing is None else existing.unionByName(updates, allowMissingColumns=True)

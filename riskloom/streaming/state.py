@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -41,6 +41,28 @@ def enriched(stream: DataFrame, profiles: DataFrame, key: str) -> DataFrame:
     return stream.join(profiles, key, "left")
 
 
+class Progress(StreamingQueryListener):
+    """Per query and batch: rows, event-time watermark, duration, and rows that the engine dropped as late."""
+
+    def __init__(self):
+        self.batches: list[dict] = []
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        self.batches.append({
+            "query": p.name, "batch": p.batchId, "rows": p.numInputRows, "millis": p.batchDuration, "watermark": (p.eventTime or {}).get("watermark"),
+            "dropped": sum(s.numRowsDroppedByWatermark for s in p.stateOperators)})
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        pass
+
+
 class LatestStore:
     """A store of the newest value per key behind a small port; an online store is one more class with ``put``."""
 

@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import os
 import random
 
 import pytest
@@ -22,7 +23,7 @@ def one(spark, column):
 # --- catalog
 
 
-@pytest.mark.parametrize("role", ["trace_app", "trace_stream", "trace_auditor"])
+@pytest.mark.parametrize("role", ["app_role", "stream_role", "auditor_role"])
 def test_ground_truth_is_out_of_reach(spark, role):
     c = catalog.Catalog(spark, role, {"groundtruth.labels": lambda s: s.range(1), "app.cases": lambda s: s.range(2)})
     with pytest.raises(catalog.AccessDenied):
@@ -31,7 +32,7 @@ def test_ground_truth_is_out_of_reach(spark, role):
 
 
 def test_audit_is_append_only(spark, tmp_path):
-    c = catalog.Catalog(spark, "trace_app", {"audit.events": lambda s: s.range(1)})
+    c = catalog.Catalog(spark, "app_role", {"audit.events": lambda s: s.range(1)})
     c.append("audit.events", spark.range(3), f"{tmp_path}/a")
     c.append("audit.events", spark.range(2), f"{tmp_path}/a")
     assert spark.read.parquet(f"{tmp_path}/a").count() == 5
@@ -117,6 +118,19 @@ def test_rules_are_data(spark):
     assert len(rules.ORDERS.rules) >= 15
 
 
+def test_rules_reload(tmp_path):
+    path = tmp_path / "rules.json"
+    path.write_text(json.dumps({"version": "1", "rules": []}))
+    held = rules.RuleFile(str(path))
+    assert held.current().version == "1"
+    path.write_text(json.dumps({"version": "2", "rules": []}))
+    os.utime(path, ns=(1, 1))
+    assert held.current().version == "2"
+    path.write_text("[broken")
+    os.utime(path, ns=(2, 2))
+    assert held.current().version == "2" and held.error
+
+
 # --- graph
 
 
@@ -244,6 +258,15 @@ def test_files(spark, tmp_path):
     assert {(r.k, r.v) for r in files.merge(old, new, ["k"], "at").collect()} == {("k", 2), ("j", 3)}
 
 
+def test_layouts_let_readers_skip(spark, tmp_path):
+    df = spark.range(10_000).withColumn("day", F.col("id") % 4)
+    files.laid_out(df, f"{tmp_path}/l", "day", ["id"], 32)
+    read = spark.read.parquet(f"{tmp_path}/l")
+    assert read.filter("day = 1").count() == 2500
+    holding = lambda c: read.filter(c).select(F.input_file_name()).distinct().count()
+    assert holding("day = 1 and id < 100") < holding("day = 1") / 2
+
+
 def test_scenarios_find_what_the_generator_plants(spark):
     t = generator.transactions(spark, 6000, 3, positive=0.05).cache()
     e = t.select(F.col("transaction_id").alias("event_id"), F.col("account_id").alias("account"), F.col("occurred_at").alias("at"), (F.col("amount_minor") / 100).alias("amount"), F.col("device_id").alias("device"), "lat", "lon")

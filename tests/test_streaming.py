@@ -1,6 +1,7 @@
 import datetime as dt
 import os
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -120,3 +121,37 @@ def test_stream_joins_profiles(spark, tmp_path):
     q = state.enriched(stream(spark, tmp_path), profiles, "k").writeStream.format("memory").queryName("enriched").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r.note for r in spark.sql("SELECT note FROM enriched").collect()} == {"known"}
+
+
+def test_progress_is_reported(spark, tmp_path):
+    feed(spark, str(tmp_path), BATCHES[:1])
+    seen = state.Progress()
+    spark.streams.addListener(seen)
+    try:
+        s.bronze(stream(spark, tmp_path), f"{tmp_path}/bronze", str(tmp_path)).awaitTermination()
+        for _ in range(100):
+            if seen.batches:
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(seen)
+    assert sum(b["rows"] for b in seen.batches) == 3
+
+
+def test_counts_live_in_state(spark, tmp_path):
+    feed(spark, str(tmp_path), BATCHES[:2])
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", state.PROVIDER)
+    out = {}
+    try:
+        # processing time never ends by itself here, so the query runs until both files are in, and is stopped
+        q = state.velocity(stream(spark, tmp_path), "k").writeStream.foreachBatch(lambda df, b: out.update({r.account: r.n for r in df.collect()})).outputMode("update").option("checkpointLocation", f"{tmp_path}/c").start()
+        for _ in range(300):
+            if out.get("k") == 6 or q.exception():
+                break
+            time.sleep(0.2)
+        q.stop()
+        assert q.exception() is None
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    assert out == {"k": 6}
