@@ -25,24 +25,24 @@ VOCABULARY = 300_000
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
-class Canonical:
-    """Template tokens of a text. A token is a typed slot or a folded word; its kind is kept by spelling, in a
-    table that is emptied when it is full, which changes nothing but speed."""
+class Canonical(dict):
+    """Template tokens of a text. A token is a typed slot or a folded word; its kind is kept by spelling, in this
+    table, which is emptied when it is full; that changes nothing but speed."""
 
     def __init__(self):
-        self.seen: dict[str, int] = {}
+        self.clear()
         # by spelling: hash within a sentence, hash as its first word
         self.hashes = np.zeros((1 << 16, 2), np.uint64)
         # by spelling: slot within a sentence, slot as its first word, ends a sentence, has only symbols
         self.marks = np.zeros((1 << 16, 4), np.int8)
 
-    def learn(self, raw: str) -> int:
+    def __missing__(self, raw: str) -> int:
         core = raw.strip(STRIP)
         low = core.lower()
         kind = NUM if NUMBER.match(core) else UNIT if low in UNITS else 0
         named = NAME if not kind and len(core) > 1 and core[0].isupper() and core[1:].islower() else kind
         value = xxhash.xxh64_intdigest(low.encode(), 0) | 4
-        at = self.seen[raw] = len(self.seen)
+        at = self[raw] = len(self)
         if at == len(self.hashes):
             self.hashes, self.marks = np.concatenate([self.hashes] * 2), np.concatenate([self.marks] * 2)
         ends = raw[-1:] in ".!?:|" or raw.rstrip("\"')]»”").endswith((".", "!", "?"))
@@ -52,15 +52,14 @@ class Canonical:
 
     def tokens(self, text: str):
         """Token spellings, and, without tokens that are only symbols, hashes, slot types and places among the spellings."""
-        if len(self.seen) > VOCABULARY:
+        if len(self) > VOCABULARY:
             self.__init__()
         raw = text.split()
         if any(c in text for c in "0123456789"):
             raw = [p for t in raw for p in (JOINED.split(t) if t[:1].isdigit() or t[-1:].isalpha() and any(map(str.isdigit, t)) else (t,))]
         if not raw:
             return [], np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64)
-        seen, learn = self.seen, self.learn
-        at = np.array([seen[t] if t in seen else learn(t) for t in raw])
+        at = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
         marks = self.marks[at]
         # the first token opens a sentence, and each that follows one that ends it
         column = np.concatenate([[1], marks[:-1, 2]])
@@ -82,12 +81,29 @@ def windows(hashes: np.ndarray, kinds: np.ndarray, width: int = WIDTH, literals:
     return use, out[use]
 
 
+class Wanted:
+    """Hashes that some benchmark item has. A bit table, far sparser than full, rules out nearly all others before the
+    sorted hashes are searched."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.unique(hashes)
+        self.shift = np.uint64(64 - min(26, max(10, int(len(self.hashes)).bit_length() + 5)))
+        self.maybe = np.zeros(1 << int(np.uint64(64) - self.shift), bool)
+        self.maybe[self.hashes >> self.shift] = True
+
+    def among(self, values: np.ndarray) -> np.ndarray:
+        """Places of the wanted ones."""
+        place = np.flatnonzero(self.maybe[values >> self.shift])
+        near = np.minimum(np.searchsorted(self.hashes, values[place]), len(self.hashes) - 1)
+        return place[self.hashes[near] == values[place]] if len(self.hashes) else place[:0]
+
+
 def _slots(raw, kinds, at, place: int, width: int) -> list[str]:
     return [raw[at[i]].strip(STRIP).lower() for i in range(place, place + width) if kinds[i]]
 
 
 def _windows_of(width: int, literals: int, wanted):
-    """Window rows of a task; ``wanted`` (sorted hashes) keeps only windows that some benchmark item has."""
+    """Window rows of a task; ``wanted`` (a broadcast Wanted) keeps only windows that some benchmark item has."""
 
     def run(batches):
         canonical = Canonical()
@@ -96,9 +112,8 @@ def _windows_of(width: int, literals: int, wanted):
             for row, text in enumerate(batch.column(2).to_pylist()):
                 raw, hashes, kinds, at = canonical.tokens(text)
                 use, values = windows(hashes, kinds, width, literals)
-                if wanted is not None and len(values):
-                    near = np.minimum(np.searchsorted(wanted.value, values), len(wanted.value) - 1)
-                    hit = wanted.value[near] == values
+                if wanted is not None:
+                    hit = wanted.value.among(values)
                     use, values = use[hit], values[hit]
                 for p, v in zip(use.tolist(), values.view(np.int64).tolist(), strict=True):
                     ids.append(row)
@@ -130,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     by an item when the windows that count are as many as ``run`` words in sequence have, or make up
     ``share`` of the item's windows if that is less (two at least, or all).
 
-    The item windows, once counted, go to the tasks as a sorted array up to ``limit`` and drop other windows at
+    The item windows, once counted, go to the tasks as a table of hashes up to ``limit`` and drop other windows at
     the source; beyond that every window goes through the same join by shuffle. Null texts count as empty, texts
     and items of under ``width`` tokens have no window and never match, items given twice match under both ids,
     repeated rows share a result, empty tables give an empty one."""
@@ -140,8 +155,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     rows = docs.select(F.col(id_column).alias("id"), row_hash(text_column).alias("h"), text_or_empty(text_column).alias("t"))
     wanted = None
     if keys.limit(limit + 1).count() <= limit:
-        known = np.sort(keys.toPandas()["window"].to_numpy(dtype=np.int64).view(np.uint64))
-        wanted = docs.sparkSession.sparkContext.broadcast(known if len(known) else np.zeros(1, np.uint64))
+        wanted = docs.sparkSession.sparkContext.broadcast(Wanted(keys.toPandas()["window"].to_numpy(dtype=np.int64).view(np.uint64)))
     found = materialize(template_windows(rows, wanted, width, literals), "windows")
     pairs = found.join(items, "window").withColumn("diagonal", F.col("place") - F.col("item_place"))
     return _judged(pairs, items, width, run, share)
