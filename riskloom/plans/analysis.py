@@ -295,6 +295,15 @@ def isolation_forest(spark, sf_dir):
     return ml.isolation_forest(model_rows(spark, sf_dir).select("event_id", "value", "n_1h", "n_24h", "mean_24h"), ["value", "n_1h", "n_24h", "mean_24h"]).select("event_id", F.round("anomaly", 6).alias("anomaly"))
 
 
+@query("""
+    SELECT event_id, round((2 * percent_rank() OVER (ORDER BY value) + 1 * percent_rank() OVER (ORDER BY event_id % 1009)) / 3, 6) AS score FROM events""")
+def ensemble_scores(spark, sf_dir):
+    """Two rankings combined; weights two to one."""
+    e = events(spark, sf_dir).select("event_id", "value", (F.col("event_id") % 1009).alias("other"))
+    ranked = ml.percentile_rank(ml.percentile_rank(e, "value", "a"), "other", "b")
+    return ranked.select("event_id", F.round(ml.ensemble(ranked, {"a": 2.0, "b": 1.0}), 6).alias("score"))
+
+
 @query()
 def calibrated_scores(spark, sf_dir):
     """Boosted trees on the first weeks, calibrated on the next, scored on the last; not expressible in SQL."""

@@ -7,6 +7,7 @@ from pyspark.sql import Window
 
 from riskloom.functions import ids, measures
 from riskloom.operators import graph, metrics, rules, timeline, validation
+from riskloom.schemas import PAYLOADS
 from riskloom.sources.adapters import EventsAdapter, OrdersAdapter, coverage_mismatch
 
 from .inputs import EVENTS, events, ntz, table
@@ -297,6 +298,29 @@ def trust_tiers(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", validation.least_trusted(a, b).alias("tier"))
 
 
+STRICT = [(1, '{"account_id": "a", "change": "email"}'), (2, '{"account_id": "a", "change": "shoe size"}'), (3, '{"account_id": "a", "change": "email", "admin": true}'), (4, "{}"), (5, "not json")]
+
+
+@query("SELECT * FROM (VALUES (1::BIGINT, ''), (2, 'enum'), (3, 'extra'), (4, 'enum'), (5, 'json,enum')) s(id, errors)")
+def strict_payload(spark, sf_dir):
+    """A field beyond the schema or a value beyond the list is refused, not bent to fit."""
+    df = spark.createDataFrame(STRICT, "id long, payload string")
+    change = F.get_json_object("payload", "$.change")
+    found = validation.errors(
+        ("json", F.json_object_keys("payload").isNull()), ("extra", F.size(validation.extra_fields(F.col("payload"), PAYLOADS["identity.changed", 1])) > 0), ("enum", change.isNull() | ~change.isin("email", "phone", "device")))
+    return df.select("id", F.concat_ws(",", found).alias("errors"))
+
+
+@query("""
+    SELECT l_orderkey, l_linenumber, l_partkey, round(l_quantity, 4) AS v1, round(l_discount, 4) AS v2, CASE WHEN l_tax > 0 THEN 2 ELSE 1 END + (l_quantity IS NOT NULL)::INT AS held FROM lineitem""")
+def opaque_features(spark, sf_dir):
+    """Columns nobody explains travel in one typed map, and only those that hold a value."""
+    li = table(spark, sf_dir, "lineitem")
+    packed = F.map_filter(F.create_map(F.lit("V1"), F.col("l_quantity"), F.lit("V2"), F.col("l_discount"), F.lit("V3"), F.when(F.col("l_tax") > 0, F.col("l_tax"))), lambda k, v: v.isNotNull())
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", packed.alias("m")).select(
+        "l_orderkey", "l_linenumber", "l_partkey", F.round(F.try_element_at("m", F.lit("V1")), 4).alias("v1"), F.round(F.try_element_at("m", F.lit("V2")), 4).alias("v2"), F.size("m").alias("held"))
+
+
 # --- rules and triage
 
 SCORED = """(

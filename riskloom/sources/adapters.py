@@ -42,11 +42,11 @@ def digest(df: DataFrame) -> tuple[int, str]:
 
 
 def canonical(df: DataFrame, source: str, row_id: Column, coverage: tuple[str, ...], **fields: Column) -> DataFrame:
-    """Rows in the canonical schema; a field that is not covered is null."""
+    """Rows in the canonical schema; a field that is not covered, or does not fit its type, is null."""
     given = {"source_dataset": F.lit(source), "source_row_id": row_id.cast("string"), "field_coverage": F.array(*map(F.lit, coverage))} | fields
     if extra := set(given) - set(CANONICAL.names):
         raise ValueError(f"not canonical: {sorted(extra)}")
-    return df.select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in CANONICAL])
+    return df.select(*[given.get(f.name, F.lit(None)).try_cast(f.dataType).alias(f.name) for f in CANONICAL])
 
 
 class _Adapter:
