@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +12,7 @@ from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: By application, the folder of a local run that names none.
@@ -29,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="riskloom-")
+        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
     return _LOCAL[app]
 
 
@@ -83,6 +87,14 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.join(small, on, how)
 
 
+def in_arrow(df: DataFrame, function, schema) -> DataFrame:
+    """mapInArrow over batches that are bounded by bytes and not by rows alone, as texts may be long; a session that
+    sets its own bound keeps it."""
+    if df.sparkSession.conf.get(BATCH_BYTES, None) is None:
+        df.sparkSession.conf.set(BATCH_BYTES, str(8 << 20))
+    return df.mapInArrow(function, schema)
+
+
 def held_out(id_column: Column) -> Column:
     """True for the evaluation fold: crc32 of the id as text leaves remainder 1 by 3; null ids are not held out."""
     return F.coalesce(F.crc32(id_column.cast("string").cast("binary")) % 3 == 1, F.lit(False))

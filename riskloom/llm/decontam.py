@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_rows, materialize, row_hash, text_or_empty
+from .common import drop_rows, in_arrow, materialize, row_hash, text_or_empty
 
 UNITS = frozenset(
     "mm cm m km in ft yd mi mg g kg lb lbs oz ml l s sec secs min mins h hr hrs hour hours minute minutes second seconds day days week weeks month months year years "
@@ -131,7 +131,7 @@ def _windows_of(width: int, literals: int, wanted):
 def template_windows(rows: DataFrame, wanted=None, width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
     """``rows`` (id, h, t) to one row (id, h, place, window, slots) per template window."""
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_windows_of(width, literals, wanted), f"id {kind}, h long, place int, window long, slots array<string>")
+    return rows.transform(in_arrow, _windows_of(width, literals, wanted), f"id {kind}, h long, place int, window long, slots array<string>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH,

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import in_arrow, text_or_empty
 
 NAMES = {
     ("latin", "f"): "Alice Anna Clara Emma Julia Laura Lucia Maria Marie Martha Nina Olivia Paula Sarah Sofia Teresa".split(),
@@ -240,4 +240,4 @@ def pseudonymize(docs: DataFrame, key: bytes, id_column: str = "doc_id", text_co
             numbers = [pa.array([getattr(m, n) for m in made], pa.int32()) for n in ("entities", "distinct", "collisions")]
             yield pa.RecordBatch.from_arrays([batch.column(0), *numbers, pa.array([m.text for m in made], pa.string())], names=["id", "n_entities", "n_distinct", "n_collisions", "text"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_entities int, n_distinct int, n_collisions int, text string")
+    return rows.transform(in_arrow, run, f"id {rows.schema['id'].dataType.simpleString()}, n_entities int, n_distinct int, n_collisions int, text string")

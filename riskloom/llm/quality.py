@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty, training_ids
+from .common import in_arrow, materialize, text_or_empty, training_ids
 
 SYMBOLS = b"#$%&*|<>{}[]~^=\\_+@"
 STATS = 20
@@ -86,7 +86,7 @@ def _sums(batches, per_batch):
 def _summed(rows: DataFrame, per_batch, size: int) -> np.ndarray:
     """Partition sums, summed again by position: what reaches the driver is ``size`` numbers, whatever the data.
     Sums are rounded, so the order in which tasks end does not show in the model."""
-    parts = rows.mapInArrow(lambda it: _sums(it, per_batch), "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
+    parts = rows.transform(in_arrow, lambda it: _sums(it, per_batch), "i int, v double").groupBy("i").agg(F.sum("v").alias("v"))
     out = np.zeros(size)
     for r in parts.collect():
         out[r["i"]] = float(f"{r['v']:.10g}")
@@ -123,9 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, width: int = 2
             stats = _stats_of(batch.column(0))
             yield pa.RecordBatch.from_arrays([pa.array(list(stats), pa.list_(pa.float64())), batch.column(1), batch.column(2)], names=["s", "label", "part"])
 
-    from .common import materialize
-
-    rows = materialize(rows.mapInArrow(stats_rows, "s array<double>, label int, part int"), "quality-sample")
+    rows = materialize(rows.transform(in_arrow, stats_rows, "s array<double>, label int, part int"), "quality-sample")
     stats_in = lambda batch: np.array(batch.column(0).to_pylist()).reshape(-1, STATS)
     label_in = lambda batch: np.array(batch.column(1).to_pylist(), dtype=float)
     part_in = lambda batch: np.array(batch.column(2).to_pylist())
@@ -184,4 +182,4 @@ def quality(docs: DataFrame, model: Model, id_column: str = "doc_id", text_colum
             scores = model.score(_stats_of(batch.column(1)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double")
+    return rows.transform(in_arrow, run, f"id {rows.schema['id'].dataType.simpleString()}, score double")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, row_hash, text_or_empty
+from .common import in_arrow, materialize, row_hash, text_or_empty
 from .components import components
 
 SEED = 42
@@ -47,7 +47,7 @@ def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """One row (id, h, fp) per row of ``docs``; only the two columns leave the scan."""
     rows = docs.select(F.col(id_column).alias("id"), row_hash(text_column).alias("h"), text_or_empty(text_column).alias("t"))
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(_fingerprints(width), f"id {kind}, h long, fp long")
+    return rows.transform(in_arrow, _fingerprints(width), f"id {kind}, h long, fp long")
 
 
 def _variants(fp: Column) -> Column:

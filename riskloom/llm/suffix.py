@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, row_hash, text_or_empty
+from .common import in_arrow, materialize, row_hash, text_or_empty
 
 LENGTH, ANCHOR = 200, 50
 BLOCK = 1 << 18  # starts that are hashed at a time, whatever the length of the text
@@ -325,7 +325,7 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """One row (id, h, spans) per row key of ``docs`` with a repeated string; spans may overlap."""
     rows = docs.select(F.col(id_column).alias("id"), row_hash(text_column).alias("h"), text_or_empty(text_column).alias("t"))
     kind = rows.schema["id"].dataType.simpleString()
-    segs = materialize(rows.mapInArrow(_segment_rows, f"id {kind}, h long, pos long, ah long, ch long"), "segments")
+    segs = materialize(rows.transform(in_arrow, _segment_rows, f"id {kind}, h long, pos long, ah long, ch long"), "segments")
     shared = segs.groupBy("ah").agg(F.count(F.lit(1)).alias("n"), (F.min("ch") != F.max("ch")).alias("mixed")).filter("n > 1").drop("n")
     hits = materialize(segs.join(materialize(shared, "anchors"), "ah"), "hits")
 
@@ -339,15 +339,15 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     wanted = contexts.join(sizes, "ah").select(F.col("one.id").alias("w_id"), F.col("one.h").alias("w_h"), F.struct(F.col("one.pos").alias("pos"), "ah", "ch", "n", "m").alias("w"))
     wanted = wanted.groupBy("w_id", "w_h").agg(F.collect_list("w").alias("wanted"))
     with_text = rows.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).select("id", "h", "t", "wanted")
-    cut = materialize(with_text.mapInArrow(_cut, f"id {kind}, h long, pos long, ah long, ch long, n long, m long, context binary"), "cut")
+    cut = materialize(with_text.transform(in_arrow, _cut, f"id {kind}, h long, pos long, ah long, ch long, n long, m long, context binary"), "cut")
     cut = cut.withColumn("salt", F.when(F.col("m") > HOT, F.pmod(F.col("ch"), F.ceil(F.col("m") / HOT))).otherwise(F.lit(0)).cast("long"))
 
     dealt = cut.repartition("ah", "salt").sortWithinPartitions("ah", "salt", "ch")
     spans = f"id {kind}, h long, a long, b long"
-    partly = dealt.mapInArrow(_sorted_groups, spans)
+    partly = dealt.transform(in_arrow, _sorted_groups, spans)
     hot = cut.filter(F.col("m") > HOT).repartition("ah", "salt").sortWithinPartitions("ah", "salt", "ch")
-    packed = hot.mapInArrow(_open_strings, f"ah long, bucket long, d1 array<long>, d2 array<long>, ids array<{kind}>, hs array<long>, starts array<long>, open array<boolean>")
-    across = packed.repartition("ah", "bucket").sortWithinPartitions("ah", "bucket").mapInArrow(_met, spans)
+    packed = hot.transform(in_arrow, _open_strings, f"ah long, bucket long, d1 array<long>, d2 array<long>, ids array<{kind}>, hs array<long>, starts array<long>, open array<boolean>")
+    across = packed.repartition("ah", "bucket").sortWithinPartitions("ah", "bucket").transform(in_arrow, _met, spans)
     found = whole.unionByName(again).unionByName(partly).unionByName(across)
     return materialize(found.groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
 
@@ -390,4 +390,4 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
                 kept.append(data if keep_bytes else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.int64()) for x in (sizes, removed, counts)), pa.array(digests, pa.string()), pa.array(kept, pa.binary())], names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return joined.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    return joined.transform(in_arrow, run, f"id {rows.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")

@@ -12,8 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import fresh, materialize, text_or_empty, training_ids
+from .common import fresh, in_arrow, materialize, text_or_empty, training_ids
 
 # One character for one character, so that places in folded and raw text agree.
 LOOKALIKES = dict(zip("аеорсухіјѕԁɡһкмтвнαεορυικντ", "aeopcyxijsdghkmtbhaeopuiknt", strict=True))
@@ -97,7 +98,7 @@ def _stem_counts(batches):
                 if len(word) <= LONGEST:
                     stems.add(word + END)
             counts.update((s, label) for s in stems)
-            if len(counts) > 400_000:
+            if len(counts) > 100_000:
                 yield _count_batch(counts)
                 counts.clear()
     yield _count_batch(counts)
@@ -152,7 +153,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, odds: float
     if not toxic or not clean:
         return Lexicon({k + END: v for k, v in SEED_LEXICON.items()})
     least = max(3, toxic // 100)
-    stems = picked.mapInArrow(_stem_counts, "stem string, label int, n long").groupBy("stem").agg(
+    stems = picked.transform(in_arrow, _stem_counts, "stem string, label int, n long").groupBy("stem").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
     ratio = (F.col("a") + 0.5) / (toxic + 1) / ((F.col("b") + 0.5) / (clean + 1))
     stems = stems.filter((F.col("a") >= least) & (ratio >= float(np.exp(odds))))
@@ -164,7 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, odds: float
             both = [lexicon.measure(t) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.float64()), pa.array([x for _, x in both], pa.float64()), batch.column(1)], names=["total", "rate", "label"])
 
-    rows = picked.mapInArrow(measured, "total double, rate double, label int").collect()  # at most `sample` rows of three numbers
+    rows = picked.transform(in_arrow, measured, "total double, rate double, label int").collect()  # at most `sample` rows of three numbers
     lexicon.scale = _newton(np.array([[r["total"], r["rate"]] for r in rows]), np.array([r["label"] for r in rows], dtype=float))
     return lexicon
 
@@ -182,9 +183,7 @@ def toxicity(docs: DataFrame, lexicon: Lexicon, text_column: str = "text", score
             scores = pa.array([lexicon.score(t) for t in batch.column(place).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns[:place], scores], names=[*batch.schema.names[:place], score_column])
 
-    from pyspark.sql import types as T
-
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score_column, T.DoubleType())]))
+    return rows.transform(in_arrow, run, T.StructType([*docs.schema.fields, T.StructField(score_column, T.DoubleType())]))
 
 
 def save(lexicon: Lexicon) -> str:
