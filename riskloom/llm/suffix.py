@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, materialize, row_hash, text_or_empty
+from .common import in_arrow, materialize, row_hash, small_join, text_or_empty
 
 LENGTH, ANCHOR = 200, 50
 BLOCK = 1 << 18  # starts that are hashed at a time, whatever the length of the text
@@ -333,7 +333,8 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     contexts = materialize(contexts, "contexts")
     span = [(F.shiftright("pos", 16)).alias("a"), (F.shiftright("pos", 16) + F.col("pos").bitwiseAND(F.lit(255)) + LENGTH).alias("b")]
     whole = hits.filter("not mixed").select("id", "h", *span)
-    again = hits.filter("mixed").join(contexts.filter("n > 1").select("ah", "ch"), ["ah", "ch"]).select("id", "h", *span)
+    copied = materialize(contexts.filter("n > 1").select("ah", "ch"), "copied-contexts")
+    again = small_join(hits.filter("mixed"), copied, ["ah", "ch"]).select("id", "h", *span)
 
     sizes = contexts.groupBy("ah").agg(F.count(F.lit(1)).alias("m"))
     wanted = contexts.join(sizes, "ah").select(F.col("one.id").alias("w_id"), F.col("one.h").alias("w_h"), F.struct(F.col("one.pos").alias("pos"), "ah", "ch", "n", "m").alias("w"))
