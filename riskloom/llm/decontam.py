@@ -51,20 +51,22 @@ class Canonical(dict):
         return at
 
     def tokens(self, text: str):
-        """Token spellings, and, without tokens that are only symbols, hashes, slot types and places among the spellings."""
+        """Token spellings, and, without tokens that are only symbols: hashes, slot types, the same two with names taken
+        for words, and places among the spellings."""
         if len(self) > VOCABULARY:
             self.__init__()
         raw = text.split()
         if any(c in text for c in "0123456789"):
             raw = [p for t in raw for p in (JOINED.split(t) if t[:1].isdigit() or t[-1:].isalpha() and any(map(str.isdigit, t)) else (t,))]
         if not raw:
-            return [], np.zeros(0, np.uint64), np.zeros(0, np.int8), np.zeros(0, np.int64)
+            none = np.zeros(0, np.int64)
+            return [], none.view(np.uint64), none, none.view(np.uint64), none, none
         at = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
         marks = self.marks[at]
         # the first token opens a sentence, and each that follows one that ends it
         column = np.concatenate([[1], marks[:-1, 2]])
         keep = np.flatnonzero(marks[:, 3] == 0)
-        return raw, self.hashes[at, column][keep], marks[np.arange(len(at)), column][keep], keep
+        return raw, self.hashes[at, column][keep], marks[np.arange(len(at)), column][keep], self.hashes[at, 1][keep], marks[keep, 1], keep
 
 
 def windows(hashes: np.ndarray, kinds: np.ndarray, width: int = WIDTH, literals: int = LITERALS) -> tuple[np.ndarray, np.ndarray]:
@@ -110,16 +112,24 @@ def _windows_of(width: int, literals: int, wanted):
         for batch in batches:
             ids, hs, place, found, slots = [], [], [], [], []
             for row, text in enumerate(batch.column(2).to_pylist()):
-                raw, hashes, kinds, at = canonical.tokens(text)
+                raw, hashes, kinds, plain, plain_kinds, at = canonical.tokens(text)
                 use, values = windows(hashes, kinds, width, literals)
+                named = len(use)
+                if (kinds == NAME).any():
+                    # windows with a name also with the name as a word, for texts that change only the case
+                    names = np.concatenate([[0], np.cumsum(kinds == NAME)])
+                    more, words = windows(plain, plain_kinds, width, literals)
+                    own = names[more + width] > names[more]
+                    use, values = np.concatenate([use, more[own]]), np.concatenate([values, words[own]])
+                kind_of = np.arange(len(use)) < named
                 if wanted is not None:
                     hit = wanted.value.among(values)
-                    use, values = use[hit], values[hit]
-                for p, v in zip(use.tolist(), values.view(np.int64).tolist(), strict=True):
+                    use, values, kind_of = use[hit], values[hit], kind_of[hit]
+                for p, v, typed in zip(use.tolist(), values.view(np.int64).tolist(), kind_of.tolist(), strict=True):
                     ids.append(row)
                     place.append(p)
                     found.append(v)
-                    slots.append(_slots(raw, kinds, at, p, width))
+                    slots.append(_slots(raw, kinds if typed else plain_kinds, at, p, width))
             picked = pa.array(ids, pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(picked), batch.column(1).take(picked), pa.array(place, pa.int32()), pa.array(found, pa.int64()), pa.array(slots, pa.list_(pa.string()))],
@@ -139,7 +149,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     """One row (id, h, item_id, windows, item_windows) per document and benchmark item found in it.
 
     Texts become templates: numbers, units and names (capitalised words within a sentence) are typed slots, all
-    else is folded to lower case without punctuation. Windows of ``width`` template tokens are joined by hash. The
+    else is folded to lower case without punctuation; windows with names also stand with the names as words. Windows of ``width`` template tokens are joined by hash. The
     matched windows of a document and item on one diagonal count if their slots agree: each value of the item
     always meets the same value in the document, as in a question with other numbers. A document is contaminated
     by an item when the windows that count are as many as ``run`` words in sequence have, or make up

@@ -31,6 +31,9 @@ IBAN = re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"
 CARD = re.compile(r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])")
 SSN = re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")
 PHONE = re.compile(r"(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?)?\d{2,4}(?:[ .-]\d{2,4}){1,4}(?![\w.]*\d)")
+SECRET = re.compile(
+    r"(?i)\b(?:token|secret|api[_-]?key|access[_-]?key|secret[_-]?key|private[_-]?key|password|passwd|pwd)\b[\"']?\s*[=:]\s*[\"']?(?P<value>[^\s\"',;]{6,})"
+    r"|\b(?P<known>(?-i:AKIA[0-9A-Z]{16}|gh[pousr]_[0-9A-Za-z]{36}|sk-[0-9A-Za-z_-]{20,}|xox[abprs]-[0-9A-Za-z-]{10,}|eyJ[\w-]{10,}\.eyJ[\w-]{10,}\.[\w-]{10,}))")
 PERSON = re.compile(rf"\b(?:(?P<title>{'|'.join(sorted(TITLES, key=len, reverse=True))})\.? )(?P<after>{CAPITAL}(?: {CAPITAL})?)|\b(?P<given>{'|'.join(GIVEN)}) (?P<family>{CAPITAL})")
 
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
@@ -124,6 +127,16 @@ def _word(word: str, key: bytes, label: str) -> str:
     return _shaped(word, key, label, LETTERS)
 
 
+def _secret(text: str, key: bytes, label: str) -> str:
+    """Hexadecimal stays hexadecimal of its case; anything else keeps its character classes, and a known prefix stays."""
+    for digits in ("0123456789abcdef", "0123456789ABCDEF"):
+        if all(c in digits for c in text):
+            return _shaped(text, key, label, (digits,))
+    head = re.match(r"AKIA|gh[pousr]_|sk-|xox[abprs]-|eyJ", text)
+    head = head.group(0) if head else ""
+    return head + _shaped(text[len(head) :], key, label + head)
+
+
 def script(word: str) -> str:
     return "cyrillic" if re.search("[Ѐ-ӿ]", word) else "greek" if re.search("[Ͱ-Ͽ]", word) else "latin"
 
@@ -143,7 +156,7 @@ def _name(text: str, key: bytes, label: str) -> str:
     return " ".join(out)
 
 
-MAKERS = {"email": _email, "iban": _iban, "card": _card, "ssn": _shaped, "ipv6": _ipv6, "ipv4": _ipv4, "phone": _phone, "person": _name}
+MAKERS = {"email": _email, "secret": _secret, "iban": _iban, "card": _card, "ssn": _shaped, "ipv6": _ipv6, "ipv4": _ipv4, "phone": _phone, "person": _name}
 
 
 def _valid(kind: str, text: str) -> bool:
@@ -168,6 +181,8 @@ def entities(text: str) -> list[tuple[int, int, str]]:
     tests = []
     if "@" in text:
         tests.append(("email", EMAIL))
+    if "=" in text or ":" in text or "-" in text or "_" in text:
+        tests.append(("secret", SECRET))
     if any(c in text for c in "0123456789"):
         tests += [("iban", IBAN), ("card", CARD), ("ssn", SSN)]
         if ":" in text:
@@ -175,6 +190,11 @@ def entities(text: str) -> list[tuple[int, int, str]]:
         tests += [("ipv4", IPV4), ("phone", PHONE)]
     for kind, pattern in tests:
         for m in pattern.finditer(text):
+            if kind == "secret":
+                a, b = m.span("value") if m.group("value") else m.span("known")
+                if all(b <= s or e <= a for s, e, _ in found):
+                    found.append((a, b, kind))
+                continue
             span = (m.start(), m.end())
             if kind == "card" and not _valid(kind, m.group(0)):
                 # digits of several numbers side by side: take each run of 13 to 19 digits that holds

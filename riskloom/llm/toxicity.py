@@ -37,6 +37,12 @@ def fold(text: str) -> str:
     return low.translate(FOLD)
 
 
+def words(text: str) -> set[str]:
+    """Folded words of three letters or more. Digits fold to letters, so a number is no word unless it holds a letter."""
+    found = {(m.group(), text[m.start() : m.end()]) for m in WORD.finditer(fold(text))}
+    return {w for w, raw in found if len(w) >= SHORTEST and any(map(str.isalpha, raw))}
+
+
 @dataclass
 class Lexicon:
     """Stems with weights (a stem that ends in END is a whole word), exception phrases, and a logistic scale."""
@@ -72,6 +78,8 @@ class Lexicon:
                 continue
             if whole and after < len(text) and text[after].isalpha():
                 continue
+            if not any(map(str.isalpha, text[start:after])):
+                continue  # a number, not a word
             if weight:
                 found[start] = max(found.get(start, 0.0), weight)
             else:
@@ -93,7 +101,7 @@ def _stem_counts(batches):
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             stems = set()
-            for word in set(WORD.findall(fold(text))):
+            for word in words(text):
                 stems.update(word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1))
                 if len(word) <= LONGEST:
                     stems.add(word + END)

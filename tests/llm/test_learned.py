@@ -42,6 +42,7 @@ def test_folding_boundaries_and_exceptions():
     lexicon = toxicity.Lexicon({"idiot\0": 3.0, "moron": 3.0, "clown\0": 2.0})
     hit = lambda t: lexicon.measure(t)[0]
     assert hit("You IDIOT!") == hit("you 1d10t") == hit("you іdіоt") == hit("idiot$$$") == 3.0
+    assert toxicity.Lexicon({"oie\0": 1.0}).measure("013 o1e")[0] == 1.0 and toxicity.words("013 o1e ab 99") == {"oie"}
     assert hit("idiotic") == hit("xmoron") == 0.0
     assert hit("moronic") == 3.0
     assert hit("a clown fish") == 0.0 and hit("a clown") == 2.0 and hit("clown fish and a clown") == 2.0
