@@ -336,8 +336,9 @@ def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str
     copied = materialize(contexts.filter("n > 1").select("ah", "ch"), "copied-contexts")
     again = small_join(hits.filter("mixed"), copied, ["ah", "ch"]).select("id", "h", *span)
 
-    sizes = contexts.groupBy("ah").agg(F.count(F.lit(1)).alias("m"))
-    wanted = contexts.join(sizes, "ah").select(F.col("one.id").alias("w_id"), F.col("one.h").alias("w_h"), F.struct(F.col("one.pos").alias("pos"), "ah", "ch", "n", "m").alias("w"))
+    # only anchors with many contexts need their number, so that the join has a small side
+    hot_sizes = materialize(contexts.groupBy("ah").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > HOT), "hot-anchors")
+    wanted = small_join(contexts, hot_sizes, ["ah"], "left").withColumn("m", F.coalesce("m", F.lit(0))).select(F.col("one.id").alias("w_id"), F.col("one.h").alias("w_h"), F.struct(F.col("one.pos").alias("pos"), "ah", "ch", "n", "m").alias("w"))
     wanted = wanted.groupBy("w_id", "w_h").agg(F.collect_list("w").alias("wanted"))
     with_text = rows.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).select("id", "h", "t", "wanted")
     cut = materialize(with_text.transform(in_arrow, _cut, f"id {kind}, h long, pos long, ah long, ch long, n long, m long, context binary"), "cut")
