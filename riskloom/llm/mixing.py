@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import WORDS, fresh, materialize, small_join, text_or_empty
+from .common import WORDS, fresh, materialize, text_or_empty
 
 NOISE = "#$%&*!|<>{}~^="
 LEVELS, BINS = 2, 4096
@@ -84,8 +84,8 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
         bins = part.groupBy("source", F.floor(F.col("bin") / width).alias("b")).agg(F.sum("size").alias("n"))
         bins = bins.withColumn("upto", F.sum("n").over(Window.partitionBy("source").orderBy("b")))
         bins = bins.join(F.broadcast(edge) if edge.count() <= 10_000 else edge, same("source", "p_source"))
-        cut = bins.filter(F.col("upto") > F.col("left")).groupBy("p_source").agg(F.min(F.struct("b", F.col("upto") - F.col("n"), "left")).alias("m"))
-        cut = cut.select("p_source", (F.col("m.left") - F.col("m.col2")).alias("left"), (F.col("m.b") * width).cast("long").alias("lo"))
+        cut = bins.filter(F.col("upto") > F.col("left")).groupBy("p_source").agg(F.min(F.struct("b", (F.col("upto") - F.col("n")).alias("before"), "left")).alias("m"))
+        cut = cut.select("p_source", (F.col("m.left") - F.col("m.before")).alias("left"), (F.col("m.b") * width).cast("long").alias("lo"))
         whole = edge.select(F.col("p_source").alias("w_source"), F.lit(BINS**LEVELS).cast("long").alias("all"))
         edge = whole.join(cut, same("w_source", "p_source"), "left").select(
             F.col("w_source").alias("p_source"), F.coalesce("left", F.lit(0)).cast("long").alias("left"), F.coalesce("lo", "all").alias("lo"))
