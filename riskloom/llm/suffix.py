@@ -24,6 +24,7 @@ BLOCK = 1 << 18  # starts that are hashed at a time, whatever the length of the
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)  # odd, so each has an inverse
 HOT = 1024  # contexts of one anchor that are sorted together
 CHUNK = 20_000  # contexts that one call sorts
+BUCKET = 20_000  # strings of a crowded anchor that meet in one place
 
 
 class Powers:
@@ -295,7 +296,7 @@ def _open_strings(batches):
             sums = prefix_sums(data, base)
             digests.append(mixed((sums[at + LENGTH] - sums[at]) * powers(base, len(sums)).down[at]).view(np.int64))
         m, ah = table.column("m").to_numpy()[row], table.column("ah").to_numpy()[row]
-        buckets = -(-m * (LENGTH - ANCHOR + 1) // 1_000_000)
+        buckets = -(-m * (LENGTH - ANCHOR + 1) // BUCKET)
         bucket = (digests[0].view(np.uint64) % buckets.astype(np.uint64)).astype(np.int64)
         order = np.lexsort((bucket, ah))
         edges = np.concatenate([[0], np.flatnonzero((np.diff(ah[order]) != 0) | (np.diff(bucket[order]) != 0)) + 1, [len(order)]])
