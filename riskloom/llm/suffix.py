@@ -22,7 +22,7 @@ from .common import in_arrow, materialize, row_hash, small_join, text_or_empty
 LENGTH, ANCHOR = 200, 50
 BLOCK = 1 << 18  # starts that are hashed at a time, whatever the length of the text
 BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)  # odd, so each has an inverse
-HOT = 1024  # contexts of one anchor that are sorted together
+HOT = 512  # contexts of one anchor that are sorted together
 CHUNK = 20_000  # contexts that one call sorts
 BUCKET = 20_000  # strings of a crowded anchor that meet in one place
 
