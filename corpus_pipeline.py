@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import decontam, exact, mixing, simhash, toxicity
+from riskloom.llm import decontam, exact, mixing, near, toxicity
 from riskloom.llm.common import drop_rows, fresh, materialize
 from riskloom.llm.queries import TOXIC_FROM
 
@@ -28,12 +28,12 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest doc_id. Rows that share doc_id and
-    text hash are one document."""
-    members = materialize(simhash.near_duplicates(docs), "near")
+    """One document of each group of near copies (five-word shingles at Jaccard 0.8 or more): the one with the smallest
+    doc_id. Rows that share doc_id and text hash are one document."""
+    members = materialize(near.near_copies(docs), "near")
     first = F.struct(F.col("id").isNull().alias("no_id"), "id", "h")
-    winners = members.groupBy("component").agg(F.min(first).alias("w")).select(F.col("component").alias("c"), F.col("w.id").alias("w_id"), F.col("w.h").alias("w_h"))
-    same = F.col("component").eqNullSafe(F.col("c")) & F.col("id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))
+    winners = members.groupBy("root").agg(F.min(first).alias("w")).select(F.col("root").alias("r"), F.col("w.id").alias("w_id"), F.col("w.h").alias("w_h"))
+    same = (F.col("root") == F.col("r")) & F.col("id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))
     losers = members.join(winners, same, "left_anti").select("id", "h")
     return drop_rows(docs, materialize(losers, "near-losers"))
 
