@@ -9,6 +9,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from .common import drop_rows, in_arrow, materialize, row_hash, text_or_empty
 
@@ -153,7 +154,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     matched windows of a document and item on one diagonal count if their slots agree: each value of the item
     always meets the same value in the document, as in a question with other numbers. A document is contaminated
     by an item when the windows that count are as many as ``run`` words in sequence have, or make up
-    ``share`` of the item's windows if that is less (two at least, or all).
+    ``share`` of the item's windows if that is less (two at least, or all). Where a value meets two, windows whose
+    slots hold the same values as the item's, or that have no slots, still count, and of the others those that don't
+    hold that value, if with the former they make so many in sequence.
 
     The item windows, once counted, go to the tasks as a table of hashes up to ``limit`` and drop other windows at
     the source; beyond that every window goes through the same join by shuffle. Null texts count as empty, texts
@@ -172,17 +175,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
 
 
 def _judged(pairs: DataFrame, items: DataFrame, width: int, run: int, share: float) -> DataFrame:
-    """Diagonals with agreeing slots, counted by document and item; all by aggregates with map-side combining."""
+    """Windows that count, by document and item; all by aggregates with map-side combining but for the stretches of
+    diagonals with a clash, which are no longer than an item."""
     line = ["id", "h", "item_id", "diagonal"]
     slots = pairs.filter(F.size("slots") > 0).select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*line, F.col("s.item_slots").alias("mine"), F.col("s.slots").alias("theirs"))
-    clash = slots.groupBy(*line, "mine").agg((F.min("theirs") != F.max("theirs")).alias("clash")).filter("clash")
-    clash = clash.select(F.col("id").alias("c_id"), F.col("h").alias("c_h"), F.col("item_id").alias("c_item"), F.col("diagonal").alias("c_diagonal"))
+    clash = slots.groupBy(*line, "mine").agg((F.min("theirs") != F.max("theirs")).alias("clash")).filter("clash").groupBy(*line).agg(F.collect_set("mine").alias("clashing"))
+    clash = clash.select(F.col("id").alias("c_id"), F.col("h").alias("c_h"), F.col("item_id").alias("c_item"), F.col("diagonal").alias("c_diagonal"), "clashing")
     on = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")) & F.col("item_id").eqNullSafe(F.col("c_item")) & (F.col("diagonal") == F.col("c_diagonal"))
-    agreed = pairs.join(clash.distinct(), on, "left_anti").groupBy("id", "h", "item_id", "item_place").agg(F.lit(1).alias("one"))
-    counted = agreed.groupBy("id", "h", "item_id").agg(F.count(F.lit(1)).alias("windows"))
     sizes = items.groupBy(F.col("item_id").alias("s_item")).agg(F.count_distinct("item_place").alias("item_windows"))
-    need = F.least(F.lit(run - width + 1), F.greatest(F.ceil(F.col("item_windows") * share), F.least(F.lit(2), F.col("item_windows"))))
-    return counted.join(sizes, F.col("item_id").eqNullSafe(F.col("s_item"))).filter(F.col("windows") >= need).select("id", "h", "item_id", "windows", "item_windows")
+    sizes = sizes.withColumn("need", F.least(F.lit(run - width + 1), F.greatest(F.ceil(F.col("item_windows") * share), F.least(F.lit(2), F.col("item_windows")))))
+    sized = F.col("item_id").eqNullSafe(F.col("s_item"))
+    judged = pairs.join(clash, on, "left").withColumn("sure", F.col("clashing").isNull() | (F.col("item_slots") == F.col("slots")))
+    sure = judged.filter("sure").select("id", "h", "item_id", "item_place")
+    left = judged.filter(F.col("clashing").isNotNull() & (F.col("sure") | ~F.arrays_overlap("item_slots", "clashing"))).select(*line, "item_place").distinct()
+    in_line = Window.partitionBy(*line)
+    left = left.withColumn("stretch", F.col("item_place") - F.row_number().over(in_line.orderBy("item_place"))).withColumn("long", F.count(F.lit(1)).over(Window.partitionBy(*line, "stretch")))
+    left = left.join(sizes, sized).filter(F.col("long") >= F.col("need")).select("id", "h", "item_id", "item_place")
+    agreed = sure.unionByName(left).groupBy("id", "h", "item_id", "item_place").agg(F.lit(1).alias("one"))
+    counted = agreed.groupBy("id", "h", "item_id").agg(F.count(F.lit(1)).alias("windows"))
+    return counted.join(sizes, sized).filter(F.col("windows") >= F.col("need")).select("id", "h", "item_id", "windows", "item_windows")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

@@ -46,3 +46,12 @@ def test_units_and_joined_numbers():
     _, b, *_ = words.tokens("it weighs 77 g or 3 oz says Bob")
     assert list(a) == list(b)
     assert list(kinds) == [0, 0, 1, 2, 0, 1, 2, 0, 3]
+
+
+def test_a_clash_leaves_out_only_its_windows(spark, docs):
+    item = "Every morning 3 children carry baskets of apples from the old orchard to the village market where a trader named Smith pays them 3 dollars and then sells all of the fruit again to people who come by train from towns along the coast because they like to eat something fresh before the long day at work begins"
+    changed = item.replace("pays them 3", "pays them 4")
+    other = changed.replace("3 children", "9 children").replace("Smith", "Jones")  # 3 meets 9 and 4, the rest is free of it
+    thin = " ".join(w if i % 11 else "zzz" for i, w in enumerate(changed.split()))  # a word in eleven changed as well
+    table = docs([(1, item), (2, "Intro. " + changed), (3, other), (4, thin), (5, TWIN.format(7, 8)), (6, "no such text in here at all, only a few words of our own")])
+    assert found(table, items(spark, [(1, item), (2, QUESTION)])) == {(1, 1), (2, 1), (3, 1), (4, 1)}
