@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.lineage import cut
+from riskloom.lineage import cut, discard
+
 
 def undirected(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -41,19 +42,43 @@ def shortest_path(edges: DataFrame, a, b, most: int = 4) -> DataFrame:
     return visited.filter(F.col("node") == F.lit(b)).select("path", (F.size("path") - 1).alias("length"))
 
 
-def components(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(node, component): smallest node reachable, by smallest neighbour labels and one leap a round."""
-    both = cut(undirected(edges).filter("src <> dst"))
-    labels = cut(both.groupBy(F.col("src").alias("node")).agg(F.least(F.col("node"), F.min("dst")).alias("component")))
-    for _ in range(most):
-        near = both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("component").alias("near"))
-        best = labels.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
-        leap = labels.select(F.col("node").alias("component"), F.col("component").alias("far"))
-        step = cut(best.join(leap, "component", "left").select("node", "old", F.least("component", "far").alias("component")))
-        labels = step.select("node", "component")
-        if step.filter("old <> component").isEmpty():
-            return labels
-    raise RuntimeError(f"components did not settle in {most} rounds")
+def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+    """(node, component) for the nodes of ``edges`` that have an edge to another node; component is the smallest node
+    reachable. Self-loops, repeats and both directions are allowed.
+
+    By contraction: every node joins the node of least rank among itself and its neighbours, where ranks are hashed
+    anew each round, and what joined the same node becomes one. Each round leaves about half the nodes of a path and
+    fewer of any denser graph, whatever the order of their ids, and at least the node of highest rank of every
+    component goes, so the loop ends and the work of all rounds together is a small multiple of the first. Labels of
+    the rounds are then followed back. Steps are joins on the node and aggregates with map-side combining; nothing is
+    collected, and tables that are superseded are deleted."""
+    links = cut(edges.select(F.least(src, dst).alias("a"), F.greatest(src, dst).alias("b")).filter("a <> b").distinct(), "links")
+    rounds: list[DataFrame] = []
+    while not links.isEmpty():
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), F.col(c)).alias("r"), F.col(c).alias("n"))
+        # the two ends of a link tell each other their ranks
+        told = links.select(F.col("a").alias("node"), rank("b").alias("near")).unionByName(links.select(F.col("b").alias("node"), rank("a").alias("near")))
+        nearest = told.groupBy("node").agg(F.min("near").alias("near"))
+        labels = cut(nearest.select("node", F.least(rank("node"), "near")["n"].alias("label")), "labels")
+        rounds.append(labels)
+        ends = links.join(labels.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        fewer = cut(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).filter("a <> b").distinct(), "links")
+        discard(links)
+        links = fewer
+    discard(links)
+    if not rounds:
+        return edges.select(F.col(src).alias("node"), F.col(src).alias("component")).limit(0)
+    root = rounds.pop()
+    while rounds:
+        labels = rounds.pop()
+        onward = root.select(F.col("node").alias("label"), F.col("label").alias("root"))
+        further = cut(labels.join(onward, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "roots")
+        discard(root, labels)
+        root = further
+    least_of = root.groupBy("label").agg(F.min("node").alias("component"))
+    out = cut(root.join(least_of, "label").select("node", "component"), "components")
+    discard(root)
+    return out
 
 
 def shared(links: DataFrame, entity: str, actor: str, least: int) -> DataFrame:

@@ -148,6 +148,35 @@ def test_graph_on_a_small_shape(spark):
         graph.page(spark.range(5), "id", None, 201)
 
 
+def union_find(edges):
+    root = {}
+
+    def find(x):
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {x: find(x) for x in list(root)}
+
+
+def test_components_of_long_chains_and_random_graphs(spark, monkeypatch):
+    rng = random.Random(6)
+    chain = rng.sample(range(1_000_000), 20_000)
+    cuts = []
+    monkeypatch.setattr(graph, "cut", lambda df, label="cut", real=graph.cut: (cuts.append(label), real(df, label))[1])
+    for edges in (list(zip(chain, chain[1:], strict=False)), [(rng.randrange(400), rng.randrange(400)) for _ in range(350)], [(7, i) for i in range(3000)]):
+        cuts.clear()
+        got = {r.node: r.component for r in graph.components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+        assert got == union_find([e for e in edges if e[0] != e[1]])
+        assert cuts.count("labels") <= 24  # rounds grow with the logarithm of a chain, not with its length
+    assert graph.components(spark.createDataFrame([(1, 1)], "src long, dst long")).count() == 0
+
+
+
 # --- metrics
 
 
