@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SCHEMAS = ("app", "audit", "groundtruth", "eval", "external")
 #: What each role may do in each schema; all else is denied.
@@ -58,6 +59,11 @@ class Catalog:
         df.write.mode("overwrite").parquet(path)
 
 
+def mixes(tracks: Column) -> Column:
+    """Whether an array of result families holds both of those that must not meet."""
+    return F.size(F.array_intersect(tracks, F.array(*map(F.lit, FORBIDDEN_UNION)))) == len(FORBIDDEN_UNION)
+
+
 def guard_union(tracks: list[str]) -> None:
     """Refuse a table that would hold results of both families."""
     if set(FORBIDDEN_UNION) <= set(tracks):

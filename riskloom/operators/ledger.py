@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,14 +76,27 @@ def chained(payload_hash: Column, prev_hash: Column) -> Column:
     return F.sha2(F.concat(prev_hash, F.lit("|"), payload_hash), 256)
 
 
+def _fold(batches):
+    """Rows (entity, seq, payload_hash) in order, each with the hash before it and its own; only the last is kept."""
+    entity, last = None, GENESIS
+    for batch in batches:
+        before, own = [], []
+        for name, payload in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            if name != entity:
+                entity, last = name, GENESIS
+            before.append(last)
+            last = hashlib.sha256(f"{last}|{payload}".encode()).hexdigest()
+            own.append(last)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string())], names=[*batch.schema.names, "prev_hash", "chain_hash"])
+
+
 def build_chain(events: DataFrame, entity: str, seq: str, payload_hash: str) -> DataFrame:
-    """Rows with prev_hash and chain_hash, one chain per entity. Each hash needs the one before it, so a chain is folded
-    in one place: choose entities whose chains are short, such as an account's day."""
-    rows = events.groupBy(entity).agg(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("seq"), F.col(payload_hash).alias("payload_hash")))).alias("r"))
-    empty = F.array().cast("array<struct<seq:bigint,payload_hash:string,prev_hash:string,chain_hash:string>>")
-    last = lambda acc: F.coalesce(F.try_element_at(acc, F.lit(-1))["chain_hash"], F.lit(GENESIS))
-    step = lambda acc, x: F.concat(acc, F.array(F.struct(x["seq"].cast("bigint").alias("seq"), x["payload_hash"].alias("payload_hash"), last(acc).alias("prev_hash"), chained(x["payload_hash"], last(acc)).alias("chain_hash"))))
-    return rows.select(entity, F.explode(F.aggregate("r", empty, step)).alias("c")).select(entity, "c.*")
+    """Rows with prev_hash and chain_hash, one chain per entity. Each hash needs the one before it, so the rows of an
+    entity pass through one task in order, a batch at a time; no chain is held in memory."""
+    rows = events.select(entity, F.col(seq).cast("long").alias("seq"), F.col(payload_hash).alias("payload_hash"))
+    dealt = rows.repartition(entity).sortWithinPartitions(entity, "seq", "payload_hash")
+    kind = rows.schema[entity].dataType.simpleString()
+    return dealt.mapInArrow(_fold, f"{entity} {kind}, seq long, payload_hash string, prev_hash string, chain_hash string")
 
 
 def verify_chain(rows: DataFrame, entity: str, payload_hash_now: Column) -> DataFrame:

@@ -3,6 +3,8 @@ most; windows run over distinct scores, in two steps where there may be many."""
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -99,11 +101,63 @@ def drift(pairs: DataFrame, a: str, b: str) -> Column:
     return F.avg(F.abs(F.col(a) - F.col(b)) / F.greatest(F.abs(F.col(b)), F.lit(1.0)))
 
 
+def group_median(df: DataFrame, group: str, value: str, name: str, parts: int = 64) -> DataFrame:
+    """(group, name): the exact median of each group, the mean of the two middle values of an even number; nulls don't
+    count. Distinct values with their counts are dealt by range of group and value, so that a group with a large share
+    of all rows spreads over many tasks, and running counts are carried from range to range."""
+    steps = df.filter(F.col(value).isNotNull()).groupBy(F.col(group).alias("__g"), F.col(value).alias("__x")).agg(F.count(F.lit(1)).alias("__n"))
+    dealt = cut(steps.repartitionByRange(parts, "__g", "__x").withColumn("__p", F.spark_partition_id()), "median")
+    totals = dealt.groupBy("__g", "__p").agg(F.sum("__n").alias("__t"))
+    own = Window.partitionBy("__g")
+    carried = totals.select("__g", "__p", F.coalesce(F.sum("__t").over(own.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__c"), F.sum("__t").over(own).alias("__all"))
+    inside = Window.partitionBy("__g", "__p").orderBy("__x").rowsBetween(Window.unboundedPreceding, 0)
+    placed = dealt.withColumn("__upto", F.sum("__n").over(inside)).join(carried.select(F.col("__g").alias("__cg"), F.col("__p").alias("__cp"), "__c", "__all"), F.col("__g").eqNullSafe(F.col("__cg")) & (F.col("__p") == F.col("__cp")))
+    upto = F.col("__upto") + F.col("__c")
+    at = lambda rank: F.min(F.when(upto > rank, F.col("__x")))
+    middle = placed.groupBy("__g").agg(((at(F.floor((F.col("__all") - 1) / 2)) + at(F.floor(F.col("__all") / 2))) / 2).alias(name))
+    return middle.withColumnRenamed("__g", group)
+
+
 def robust_z(df: DataFrame, group: str, value: str) -> DataFrame:
-    """``df`` with ``robust_z`` = 0.6745 (x - median) / MAD by group; null where the MAD is 0. Two passes of exact
-    percentiles, whose state is one entry per distinct value."""
-    middle = df.groupBy(group).agg(F.median(value).alias("__m"))
-    near = df.join(middle, group)
-    spread = near.groupBy(group).agg(F.median(F.abs(F.col(value) - F.col("__m"))).alias("__mad"))
+    """``df`` with ``robust_z`` = 0.6745 (x - median) / MAD by group; null where the MAD is 0. Both medians are exact."""
+    with_ = lambda rows, side: rows.join(side.withColumnRenamed(group, "__k"), F.col(group).eqNullSafe(F.col("__k")), "left").drop("__k")
+    near = with_(df, cut(group_median(df, group, value, "__m"), "median"))
+    far = near.withColumn("__d", F.abs(F.col(value) - F.col("__m")))
+    out = with_(far, cut(group_median(far, group, "__d", "__mad"), "median"))
     z = 0.6745 * (F.col(value) - F.col("__m")) / F.nullif(F.col("__mad"), F.lit(0.0))
-    return near.join(spread, group).withColumn("robust_z", z).drop("__m", "__mad")
+    return out.withColumn("robust_z", z).drop("__m", "__d", "__mad")
+
+
+def quantile_cuts(df: DataFrame, value: str, bins: int, parts: int = 64) -> list[float]:
+    """The values that part a baseline into ``bins`` bins of about equal size: of each rank k n / bins the value there.
+    Values and their counts are summed by range; ``bins`` - 1 numbers reach the driver."""
+    steps = df.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    placed = _prefix(steps, "v", ["n"], parts).withColumn("above", F.col("cum_n") - F.col("n"))  # rows of greater values
+    total = steps.agg(F.sum("n")).first()[0] or 0
+    ranks = F.array(*[F.lit(total - math.ceil(total * k / bins)).cast("long") for k in range(1, bins)]) if total else F.array().cast("array<bigint>")
+    hits = placed.withColumn("r", F.explode(ranks)).filter((F.col("above") <= F.col("r")) & (F.col("r") < F.col("cum_n")))
+    return sorted({row["v"] for row in hits.select("v").distinct().collect()})
+
+
+def psi_by_day(df: DataFrame, value: str, at: str, baseline_until: str, bins: int = 10, floor: float = 1e-6) -> DataFrame:
+    """(day, n, psi): the daily job. Bins are quantiles of the rows before ``baseline_until``, their shares are the
+    baseline's, and each later day is compared with them."""
+    early = F.col(at) < F.lit(baseline_until).cast("timestamp")
+    cuts = quantile_cuts(df.filter(early), value, bins)
+    place = F.lit(0)
+    for c in cuts:
+        place = place + (F.col(value) > c).cast("int")
+    rows = df.filter(F.col(value).isNotNull()).select(F.when(early, F.lit(None)).otherwise(F.to_date(at)).alias("day"), place.alias("bin"))
+    counted = rows.groupBy("day", "bin").agg(F.count(F.lit(1)).alias("n"))
+    every = df.sparkSession.range(len(cuts) + 1).select(F.col("id").cast("int").alias("bin"))
+    base = every.join(counted.filter("day is null").select("bin", "n"), "bin", "left").select("bin", F.coalesce("n", F.lit(0)).alias("a"))
+    days = counted.filter("day is not null").groupBy("day").agg(F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("bin", "n"))).alias("by_bin"))  # as many entries as bins
+    sums = base.agg(F.array_sort(F.collect_list(F.struct("bin", "a"))).alias("base"), F.sum("a").alias("base_total"))
+    both = days.crossJoin(F.broadcast(sums))  # one row of bins
+    share = lambda x, total: F.greatest(x / total, F.lit(floor))
+
+    def term(b):
+        expected, actual = share(b["a"], F.col("base_total")), share(F.coalesce(F.try_element_at("by_bin", b["bin"]), F.lit(0)), F.col("total"))
+        return (actual - expected) * F.ln(actual / expected)
+
+    return both.select("day", F.col("total").alias("n"), F.aggregate(F.transform("base", term), F.lit(0.0), lambda acc, x: acc + x).alias("psi"))

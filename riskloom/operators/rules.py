@@ -89,9 +89,10 @@ def scored(df: DataFrame, rules: RuleSet) -> DataFrame:
     return out.withColumns({"band": band(F.col("score")), "rules_version": F.lit(rules.version)})
 
 
-def triage(df: DataFrame) -> DataFrame:
-    """What goes to the queue."""
-    return df.filter(F.col("band").isin("HIGH", "CRITICAL"))
+def triage(df: DataFrame, least: int = 60) -> DataFrame:
+    """What goes to the queue: bands HIGH and CRITICAL. The filter asks for the score, as a filter on the band would
+    repeat all rules for each of its limits once it is pushed below the projection."""
+    return df.filter(F.col("score") >= least)
 
 
 def with_profiles(df: DataFrame, profiles: DataFrame, key: str) -> DataFrame:

@@ -60,6 +60,18 @@ def running_sum(df: DataFrame, key: str, order: list[str], at: str, value: Colum
     return _with_carry(near, key, carried).withColumn(name, F.col("__near") + F.coalesce("__carry", F.lit(0))).drop("__s", "__v", "__near", "__carry")
 
 
+def greatest_before(df: DataFrame, at: str, value: Column, name: str, width: int = 1024) -> DataFrame:
+    """``df`` with ``name``: the greatest ``value`` of all rows whose integer ``at`` is smaller. One summary row per
+    ``at``, in ranges of ``width``: each range runs on its own, and only the ranges' tops, a thousandth of the rows, are
+    ordered in one place."""
+    tops = df.groupBy(F.col(at).alias("__at")).agg(F.max(value).alias("__top")).withColumn("__range", F.floor(F.col("__at") / width))
+    before = lambda w: F.max("__top").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    ranges = tops.groupBy("__range").agg(F.max("__top").alias("__top")).select("__range", before(Window.orderBy("__range")).alias("__carry"))
+    inside = tops.withColumn("__inside", before(Window.partitionBy("__range").orderBy("__at")))
+    marks = inside.join(ranges, "__range").select("__at", F.greatest("__inside", "__carry").alias(name))
+    return df.join(marks, F.col(at) == F.col("__at"), "left").drop("__at")
+
+
 def sessions(df: DataFrame, key: str, order: list[str], at: str, gap: int) -> DataFrame:
     """``df`` with ``session``, from 1: a new one starts where more than ``gap`` seconds passed since the key's
     previous row."""

@@ -9,14 +9,14 @@ from riskloom.operators import graph, metrics, ml, scenarios, timeline
 from .inputs import EVENTS, events, fraud_events, ntz, table
 from .registry import query
 
-#: Uses of a device worth 150 or more make the graph's edges.
-USES = f"(SELECT DISTINCT user_id, device FROM {EVENTS} WHERE value >= 150)"
+#: Uses of devices make the graph's edges.
+USES = f"(SELECT DISTINCT user_id, device FROM {EVENTS})"
 EDGES = f"(SELECT 'a' || user_id AS src, 'd' || device AS dst FROM {USES})"
 BOTH = f"(SELECT src, dst FROM {EDGES} UNION SELECT dst, src FROM {EDGES})"
 
 
 def uses(spark, sf_dir):
-    return events(spark, sf_dir).filter("value >= 150").select("user_id", "device").distinct()
+    return events(spark, sf_dir).select("user_id", "device").distinct()
 
 
 def edges(spark, sf_dir):
@@ -134,14 +134,11 @@ def velocity_attack(spark, sf_dir):
 
 @query(f"SELECT device, count(*) AS accounts FROM {USES} GROUP BY 1 HAVING count(*) >= 5")
 def device_farm(spark, sf_dir):
-    return scenarios.device_farm(fraud_events(spark, sf_dir).filter("amount >= 150"))
-
-
-RING = f"(SELECT DISTINCT 'a' || user_id AS src, 'd' || device AS dst FROM {EVENTS} WHERE value >= 250)"
+    return scenarios.device_farm(fraud_events(spark, sf_dir))
 
 
 @query(f"""
-    WITH RECURSIVE u AS (SELECT DISTINCT user_id, device FROM {EVENTS} WHERE value >= 250),
+    WITH RECURSIVE u AS (SELECT DISTINCT user_id, device FROM {EVENTS}),
     e AS (SELECT 'a' || user_id AS src, 'd' || device AS dst FROM u WHERE device IN (SELECT device FROM u GROUP BY 1 HAVING count(*) >= 2)),
     b AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e),
     r AS (SELECT src AS node, src AS root FROM b UNION SELECT b.dst, r.root FROM r JOIN b ON b.src = r.node WHERE r.root < b.dst),
@@ -151,7 +148,7 @@ RING = f"(SELECT DISTINCT 'a' || user_id AS src, 'd' || device AS dst FROM {EVEN
     SELECT component, accounts, devices, links, round(links / (accounts * devices), 6) AS density FROM s JOIN l USING (component) WHERE accounts >= 3""")
 def fraud_ring(spark, sf_dir):
     """Components of accounts and the devices that they share."""
-    out = scenarios.fraud_ring(fraud_events(spark, sf_dir).filter("amount >= 250").select("account", "device"))
+    out = scenarios.fraud_ring(fraud_events(spark, sf_dir).select("account", "device"))
     return out.select("component", "accounts", "devices", "links", F.round("density", 6).alias("density"))
 
 
@@ -261,6 +258,22 @@ def psi(spark, sf_dir):
     return metrics.psi(events(spark, sf_dir), "value", _early(), list(CUTS)).select(F.round("psi", 6).alias("psi"))
 
 
+@query("""
+    WITH e AS (SELECT *, ts < TIMESTAMP '2024-01-16 00:00:00' AS early FROM events),
+    r AS (SELECT value, row_number() OVER (ORDER BY value) AS k, count(*) OVER () AS n FROM e WHERE early),
+    c AS (SELECT DISTINCT value AS cut FROM r JOIN range(1, 10) q(i) ON r.k = ceil(n * q.i / 10.0)),
+    b AS (SELECT CASE WHEN early THEN NULL ELSE CAST(ts AS DATE) END AS day, (SELECT count(*) FROM c WHERE cut < value) AS bin FROM e),
+    g AS (SELECT i AS bin FROM range(0, (SELECT count(*) FROM c) + 1) x(i)),
+    a AS (SELECT bin, greatest((SELECT count(*) FROM b WHERE day IS NULL AND b.bin = g.bin) / (SELECT count(*) FROM b WHERE day IS NULL), 1e-6) AS base FROM g),
+    d AS (SELECT day, count(*) AS n FROM b WHERE day IS NOT NULL GROUP BY 1),
+    h AS (SELECT day, bin, count(*) AS m FROM b WHERE day IS NOT NULL GROUP BY 1, 2)
+    SELECT d.day, any_value(d.n) AS n, round(sum((greatest(coalesce(m, 0) / d.n, 1e-6) - base) * ln(greatest(coalesce(m, 0) / d.n, 1e-6) / base)), 6) AS psi
+    FROM d CROSS JOIN a LEFT JOIN h ON h.day = d.day AND h.bin = a.bin GROUP BY 1""")
+def psi_daily(spark, sf_dir):
+    """Stability of each later day's amounts against tenths of the first half of the month."""
+    return metrics.psi_by_day(events(spark, sf_dir), "value", "ts", "2024-01-16T00:00:00Z").select("day", "n", F.round("psi", 6).alias("psi"))
+
+
 @query(f"""
     WITH s AS (SELECT value, count(*) FILTER ({EARLY}) AS a, count(*) FILTER (NOT {EARLY}) AS b FROM events GROUP BY 1),
     c AS (SELECT sum(a) OVER (ORDER BY value) / sum(a) OVER () AS fa, sum(b) OVER (ORDER BY value) / sum(b) OVER () AS fb FROM s) SELECT round(max(abs(fa - fb)), 6) AS ks FROM c""")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from riskloom.functions import ids, measures
 from riskloom.operators import graph, metrics, rules, timeline, validation
@@ -242,9 +241,8 @@ def late_events_split(spark, sf_dir):
 
 def late_split(e):
     e = e.withColumn("batch", F.floor((F.col("event_id") + F.col("event_id") * 7919 % 500) / 500).cast("long"))
-    tops = e.groupBy("batch").agg(F.max(F.unix_micros("ts")).alias("top"))
-    marks = tops.select("batch", (F.max("top").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)) - 600_000_000).alias("mark"))
-    return e.join(marks, "batch").withColumn("is_late", F.coalesce(F.unix_micros("ts") < F.col("mark"), F.lit(False)))
+    e = timeline.greatest_before(e, "batch", F.unix_micros("ts"), "top")
+    return e.withColumn("is_late", F.coalesce(F.unix_micros("ts") < F.col("top") - 600_000_000, F.lit(False)))
 
 
 @query("SELECT CASE WHEN event_type IN ('view', 'click', 'purchase') THEN event_type ELSE 'UNKNOWN' END AS kind, count(*) AS n FROM events GROUP BY 1")
@@ -298,17 +296,22 @@ def trust_tiers(spark, sf_dir):
     return events(spark, sf_dir).select("event_id", validation.least_trusted(a, b).alias("tier"))
 
 
-STRICT = [(1, '{"account_id": "a", "change": "email"}'), (2, '{"account_id": "a", "change": "shoe size"}'), (3, '{"account_id": "a", "change": "email", "admin": true}'), (4, "{}"), (5, "not json")]
-
-
-@query("SELECT * FROM (VALUES (1::BIGINT, ''), (2, 'enum'), (3, 'extra'), (4, 'enum'), (5, 'json,enum')) s(id, errors)")
+@query("""
+    WITH p AS (SELECT event_id, CASE event_id % 5 WHEN 0 THEN '{"account_id": "acc_' || user_id || '", "change": "email"}' WHEN 1 THEN '{"account_id": "acc_' || user_id || '", "change": "' || event_type || '"}'
+            WHEN 2 THEN '{"account_id": "a", "change": "phone", "admin": true}' WHEN 3 THEN '{}' ELSE 'not json ' || event_id END AS payload FROM events),
+    k AS (SELECT event_id, json_valid(payload) AS ok, CASE WHEN json_valid(payload) THEN json_keys(payload) ELSE [] END AS keys, CASE WHEN json_valid(payload) THEN json_extract_string(payload, '$.change') END AS change FROM p)
+    SELECT event_id, concat_ws(',', CASE WHEN NOT ok THEN 'json' END, CASE WHEN len(list_filter(keys, lambda x: x NOT IN ('account_id', 'change'))) > 0 THEN 'extra' END,
+        CASE WHEN change IS NULL OR change NOT IN ('email', 'phone', 'device') THEN 'enum' END) AS errors FROM k""")
 def strict_payload(spark, sf_dir):
     """A field beyond the schema or a value beyond the list is refused, not bent to fit."""
-    df = spark.createDataFrame(STRICT, "id long, payload string")
+    k, account = F.col("event_id") % 5, F.concat(F.lit('{"account_id": "acc_'), "user_id", F.lit('", "change": "'))
+    made = F.when(k == 0, F.concat(account, F.lit('email"}'))).when(k == 1, F.concat(account, "event_type", F.lit('"}')))
+    made = made.when(k == 2, F.lit('{"account_id": "a", "change": "phone", "admin": true}')).when(k == 3, F.lit("{}")).otherwise(F.concat(F.lit("not json "), "event_id"))
+    df = events(spark, sf_dir).select("event_id", made.alias("payload"))
     change = F.get_json_object("payload", "$.change")
     found = validation.errors(
         ("json", F.json_object_keys("payload").isNull()), ("extra", F.size(validation.extra_fields(F.col("payload"), PAYLOADS["identity.changed", 1])) > 0), ("enum", change.isNull() | ~change.isin("email", "phone", "device")))
-    return df.select("id", F.concat_ws(",", found).alias("errors"))
+    return df.select("event_id", F.concat_ws(",", found).alias("errors"))
 
 
 @query("""

@@ -11,7 +11,6 @@ from .inputs import EVENTS, events, table
 from .registry import query
 
 
-
 def _sets(spark, sf_dir):
     e = events(spark, sf_dir).withColumn("early", F.col("ts") < F.lit("2024-01-16T00:00:00Z").cast("timestamp"))
     kinds = lambda c: F.collect_set(F.when(c, F.col("event_type")))
@@ -104,79 +103,110 @@ def audit_chain_verify(spark, sf_dir):
     return ledger.verify_chain(rows.join(now, ["entity", "seq"]), "entity", F.col("now"))
 
 
-# --- small relations
+# --- investigations: each conversation is one; its turns raise hypotheses and challenges and collect evidence
 
+KINDS = ("RING_SCORE", "DEVICE_SHARING", "VELOCITY", "MERCHANT_RISK", "ANOMALY", "GEO")
+K = "['RING_SCORE', 'DEVICE_SHARING', 'VELOCITY', 'MERCHANT_RISK', 'ANOMALY', 'GEO']"
 AGENTS = [
     ("graph", ["RING_SCORE", "DEVICE_SHARING"], [], 5, 2, 0), ("velocity", ["VELOCITY"], [], 9, 3, 0), ("merchant", ["MERCHANT_RISK"], ["VELOCITY"], 9, 1, 0),
     ("spent", ["RING_SCORE"], [], 99, 1, 1), ("anomaly", ["ANOMALY", "VELOCITY"], ["GEO"], 7, 1, 0),
 ]
-HYPOTHESES = [(1, "OPEN", ["VELOCITY", "RING_SCORE"]), (1, "REJECTED", ["ANOMALY"]), (2, "OPEN", ["MERCHANT_RISK"]), (3, "CONFIRMED", ["GEO"])]
-CHALLENGES = [(1, "OPEN", ["GEO"]), (2, "OPEN", ["MERCHANT_RISK", "RING_SCORE"])]
-COLLECTED = [(1, "RING_SCORE"), (2, "VELOCITY"), (2, "VELOCITY")]
 
 
-def _investigations(spark):
-    h = spark.createDataFrame(HYPOTHESES, "investigation_id long, status string, required_evidence array<string>")
-    c = spark.createDataFrame(CHALLENGES, "investigation_id long, status string, required_refutation_evidence array<string>")
-    return h, c, spark.createDataFrame(COLLECTED, "investigation_id long, kind string")
+def _kind(i):
+    return F.element_at(F.array(*map(F.lit, KINDS)), (i % 6 + 1).cast("int"))
+
+
+def _investigations(spark, sf_dir):
+    t = table(spark, sf_dir, "conversations").withColumnRenamed("conv_id", "investigation_id")
+    c, n = F.col("investigation_id"), F.col("turn")
+    h = t.filter(n % 2 == 0).select("investigation_id", F.when((c + n) % 3 == 0, "REJECTED").otherwise("OPEN").alias("status"), F.array(_kind(c + n), _kind(c * 5 + n * 7 + 1)).alias("required_evidence"))
+    challenges = t.filter(n % 2 == 1).select("investigation_id", F.when((c + n) % 4 == 1, "CLOSED").otherwise("OPEN").alias("status"), F.array(_kind(c * 2 + n)).alias("required_refutation_evidence"))
+    return h, challenges, t.filter(F.length("text") % 3 == 0).select("investigation_id", _kind(F.length("text")).alias("kind"))
 
 
-GAPS = "(VALUES (1, 'VELOCITY'), (1, 'GEO'), (2, 'MERCHANT_RISK'), (2, 'RING_SCORE')) g(investigation_id, kind)"
+COLLECTED = f"(SELECT conv_id AS investigation_id, {K}[length(text) % 6 + 1] AS kind FROM conversations WHERE length(text) % 3 = 0)"
+GAPS = f"""(SELECT investigation_id, kind FROM (
+        SELECT conv_id AS investigation_id, unnest([{K}[(conv_id + turn) % 6 + 1], {K}[(conv_id * 5 + turn * 7 + 1) % 6 + 1]]) AS kind FROM conversations WHERE turn % 2 = 0 AND (conv_id + turn) % 3 <> 0
+        UNION SELECT conv_id, {K}[(conv_id * 2 + turn) % 6 + 1] FROM conversations WHERE turn % 2 = 1 AND (conv_id + turn) % 4 <> 1)
+    EXCEPT SELECT investigation_id, kind FROM {COLLECTED})"""
 
 
-@query(f"SELECT CAST(investigation_id AS BIGINT) AS investigation_id, kind FROM {GAPS}")
+@query(f"SELECT investigation_id, kind FROM {GAPS}")
 def open_gaps(spark, sf_dir):
-    return ledger.open_gaps(*_investigations(spark))
+    return ledger.open_gaps(*_investigations(spark, sf_dir))
 
 
 @query(f"""
-    SELECT CAST(investigation_id AS BIGINT) AS investigation_id, agent_id, closes FROM (
-        SELECT g.investigation_id, a.agent_id, count(*) AS closes, row_number() OVER (PARTITION BY g.investigation_id ORDER BY a.priority DESC, a.agent_id) AS r FROM {GAPS}
+    SELECT investigation_id, agent_id, closes FROM (
+        SELECT g.investigation_id, a.agent_id, count(*) AS closes, row_number() OVER (PARTITION BY g.investigation_id ORDER BY a.priority DESC, a.agent_id) AS r FROM {GAPS} g
         JOIN (VALUES ('graph', 'RING_SCORE', NULL, 5), ('graph', 'DEVICE_SHARING', NULL, 5), ('velocity', 'VELOCITY', NULL, 9), ('merchant', 'MERCHANT_RISK', 'VELOCITY', 9), ('anomaly', 'ANOMALY', 'GEO', 7), ('anomaly', 'VELOCITY', 'GEO', 7))
             a(agent_id, produces, needs, priority) ON a.produces = g.kind
-        WHERE a.needs IS NULL OR EXISTS (SELECT 1 FROM (VALUES (1, 'RING_SCORE'), (2, 'VELOCITY')) c(i, k) WHERE c.i = g.investigation_id AND c.k = a.needs) GROUP BY g.investigation_id, a.agent_id, a.priority) WHERE r = 1""")
+        WHERE a.needs IS NULL OR EXISTS (SELECT 1 FROM {COLLECTED} c WHERE c.investigation_id = g.investigation_id AND c.kind = a.needs) GROUP BY g.investigation_id, a.agent_id, a.priority) WHERE r = 1""")
 def route_next(spark, sf_dir):
     """Who goes next: produces something missing, has what it needs, has calls left; then priority and name."""
-    h, c, have = _investigations(spark)
+    h, c, have = _investigations(spark, sf_dir)
     agents = spark.createDataFrame(AGENTS, "agent_id string, produces_evidence array<string>, required_evidence array<string>, priority int, max_invocations int, invocations int")
     return ledger.route_next(agents, ledger.open_gaps(h, c, have), have)
 
 
-@query("SELECT * FROM (VALUES ('seed', '42', '43'), ('model_name', 'a', NULL), ('rules_version', NULL, '7')) d(field, a, b)")
+@query("""
+    WITH s AS (SELECT count(*) FILTER (ts < TIMESTAMP '2024-01-16') AS na, count(*) FILTER (ts >= TIMESTAMP '2024-01-16') AS nb, min(event_id) FILTER (ts < TIMESTAMP '2024-01-16') AS fa, min(event_id) FILTER (ts >= TIMESTAMP '2024-01-16') AS fb,
+        count(DISTINCT event_type) FILTER (ts < TIMESTAMP '2024-01-16') AS ka, count(DISTINCT event_type) FILTER (ts >= TIMESTAMP '2024-01-16') AS kb FROM events)
+    SELECT field, a, b FROM (SELECT 'cases' AS field, na::VARCHAR AS a, nb::VARCHAR AS b FROM s UNION ALL SELECT 'seed', fa::VARCHAR, fb::VARCHAR FROM s UNION ALL SELECT 'temperature', ka::VARCHAR, kb::VARCHAR FROM s
+        UNION ALL SELECT 'rules_version', NULL, '7' UNION ALL SELECT 'model_name', 'halves', 'halves') WHERE a IS DISTINCT FROM b""")
 def manifest_diff(spark, sf_dir):
-    kind = "run_id string, seed string, model_name string, rules_version string, track string"
-    return ledger.manifest_diff(spark.createDataFrame([("r1", "42", "a", None, "SYNTHETIC")], kind), spark.createDataFrame([("r2", "43", None, "7", "SYNTHETIC")], kind))
+    """Manifests of runs over the two halves of the month."""
+    e, early = events(spark, sf_dir), F.col("ts") < F.lit("2024-01-16T00:00:00Z").cast("timestamp")
+    run = lambda name, rows, rules: rows.agg(F.lit(name).alias("run_id"), F.count(F.lit(1)).cast("string").alias("cases"), F.min("event_id").cast("string").alias("seed"), F.count_distinct("event_type").cast("string").alias("temperature"), F.lit("halves").alias("model_name"), F.lit(rules).cast("string").alias("rules_version"))
+    return ledger.manifest_diff(run("r1", e.filter(early), None), run("r2", e.filter(~early), "7"))
 
 
-CAPABILITIES = [
-    ("P0.repo", "P0", "PASS", ("make", "2024-01-01", "ok")), ("P0.lint", "P0", "PASS", ("make", None, None)), ("P1.rules", "P1", "IN_PROGRESS", ("make", "2024-01-01", None)),
-    ("P1.rules", "P1", "NOT_STARTED", (None, None, None)), ("bad id", "P2", "DONE", ("x", None, None)), ("P2B.graph", "P2", "BLOCKED", ("x", None, None)),
-]
+#: Capabilities by customer: one in 41 with a malformed id, one in 37 with an id that others have, six states of which one is unknown.
+CAPABILITIES = """(SELECT CASE WHEN c_custkey % 41 = 0 THEN 'bad id ' || c_custkey WHEN c_custkey % 37 = 0 THEN 'P1.dup-' || c_custkey // 37 % 3 ELSE 'P' || c_custkey % 7 || CASE WHEN c_custkey % 5 = 0 THEN 'B' ELSE '' END || '.cap-' || c_custkey END AS id,
+        'P' || c_custkey % 7 AS phase, ['NOT_STARTED', 'IN_PROGRESS', 'PASS', 'FAIL', 'BLOCKED', 'DONE'][c_custkey % 6 + 1] AS status, CASE WHEN c_custkey % 11 = 0 THEN NULL WHEN c_custkey % 13 = 0 THEN ' ' ELSE 'make' END AS command,
+        CASE WHEN c_custkey % 4 = 0 THEN '2024-01-01' END AS verified_at, CASE WHEN c_custkey % 3 = 2 THEN 'ok' END AS result FROM customer)"""
 
 
-def _capabilities(spark):
-    return spark.createDataFrame(CAPABILITIES, "id string, phase string, status string, evidence struct<command: string, verified_at: string, result: string>")
+def _capabilities(spark, sf_dir):
+    k = F.col("c_custkey")
+    usual = F.concat(F.lit("P"), k % 7, F.when(k % 5 == 0, "B").otherwise(""), F.lit(".cap-"), k)
+    name = F.when(k % 41 == 0, F.concat(F.lit("bad id "), k)).when(k % 37 == 0, F.concat(F.lit("P1.dup-"), F.floor(k / 37) % 3)).otherwise(usual)
+    status = F.element_at(F.array(*map(F.lit, (*ledger.STATUSES, "DONE"))), (k % 6 + 1).cast("int"))
+    evidence = F.struct(F.when(k % 11 == 0, F.lit(None)).when(k % 13 == 0, " ").otherwise("make").alias("command"), F.when(k % 4 == 0, "2024-01-01").alias("verified_at"), F.when(k % 3 == 2, "ok").alias("result"))
+    return table(spark, sf_dir, "customer").select(name.alias("id"), F.concat(F.lit("P"), k % 7).alias("phase"), status.alias("status"), evidence.alias("evidence"))
 
 
-@query("""SELECT * FROM (VALUES ('P0', 2::BIGINT, 0::BIGINT, 0::BIGINT, 2::BIGINT, 0::BIGINT, 0::BIGINT), ('P1', 2, 1, 1, 0, 0, 0), ('P2', 2, 0, 0, 0, 0, 1)) s(phase, total, not_started, in_progress, pass, fail, blocked)""")
+@query(f"""
+    SELECT phase, count(*) AS total, {', '.join(f"CAST(sum((status = '{s}')::INT) AS BIGINT) AS {s.lower()}" for s in ledger.STATUSES)} FROM {CAPABILITIES} GROUP BY 1""")
 def status_report(spark, sf_dir):
-    return ledger.status_report(_capabilities(spark))
+    return ledger.status_report(_capabilities(spark, sf_dir))
 
 
-@query("SELECT 'P1.rules' AS id, 2::BIGINT AS n")
+@query(f"SELECT id, count(*) AS n FROM {CAPABILITIES} GROUP BY 1 HAVING count(*) > 1")
 def duplicate_ids(spark, sf_dir):
-    return ledger.duplicate_ids(_capabilities(spark))
+    return ledger.duplicate_ids(_capabilities(spark, sf_dir))
 
 
-@query("""SELECT * FROM (VALUES ('P0.lint', 'PASS without time'), ('P0.lint', 'PASS without result'), ('P1.rules', 'time without PASS'), ('P1.rules', 'no command'), ('bad id', 'malformed id'), ('bad id', 'unknown status'),
-    ('P1.rules', 'duplicate id')) e(id, error)""")
+@query(f"""
+    SELECT id, error FROM (SELECT id, unnest([CASE WHEN NOT regexp_matches(id, '^P[0-9]+B?\\.[a-z0-9-]+$') THEN 'malformed id' END, CASE WHEN status = 'DONE' THEN 'unknown status' END, CASE WHEN trim(coalesce(command, '')) = '' THEN 'no command' END,
+        CASE WHEN status <> 'PASS' AND verified_at IS NOT NULL THEN 'time without PASS' END, CASE WHEN status = 'PASS' AND verified_at IS NULL THEN 'PASS without time' END, CASE WHEN status = 'PASS' AND result IS NULL THEN 'PASS without result' END]) AS error FROM {CAPABILITIES}) WHERE error IS NOT NULL
+    UNION ALL SELECT id, 'duplicate id' FROM {CAPABILITIES} GROUP BY 1 HAVING count(*) > 1""".replace("\\\\", "\\"))
 def status_errors(spark, sf_dir):
-    return ledger.status_errors(_capabilities(spark))
+    return ledger.status_errors(_capabilities(spark, sf_dir))
 
 
-@query("""
-    SELECT * FROM (VALUES ('app_role', 'app', 'SELECT'), ('app_role', 'app', 'INSERT'), ('app_role', 'app', 'UPDATE'), ('app_role', 'audit', 'INSERT'), ('stream_role', 'app', 'SELECT'), ('stream_role', 'external', 'SELECT'),
-        ('eval_role', 'app', 'SELECT'), ('eval_role', 'audit', 'SELECT'), ('eval_role', 'groundtruth', 'SELECT'), ('eval_role', 'eval', 'SELECT'), ('eval_role', 'eval', 'INSERT'), ('eval_role', 'external', 'SELECT'),
-        ('eval_role', 'external', 'INSERT'), ('auditor_role', 'app', 'SELECT'), ('auditor_role', 'audit', 'SELECT'), ('auditor_role', 'eval', 'SELECT')) g(role, schema_name, verb)""")
+GRANTED = ", ".join(f"('{role}', '{schema}', '{verb}')" for role, schemas in catalog.GRANTS.items() for schema, verbs in schemas.items() for verb in verbs)
+VERBS = ("SELECT", "INSERT", "UPDATE")
+
+
+@query(f"""
+    WITH r AS (SELECT event_id, {list(catalog.GRANTS)}[event_id % 4 + 1] AS role, {list(catalog.SCHEMAS)}[event_id // 4 % 5 + 1] AS schema_name, {list(VERBS)}[event_id // 20 % 3 + 1] AS verb FROM events)
+    SELECT event_id, role, schema_name, verb, (role, schema_name, verb) IN (VALUES {GRANTED}) AS allowed FROM r""")
 def grant_matrix(spark, sf_dir):
-    return catalog.grants(spark)
+    """Requests for access, one an event, against what each role may do."""
+    k = F.col("event_id")
+    pick = lambda values, i: F.element_at(F.array(*map(F.lit, values)), (i % len(values) + 1).cast("int"))
+    asked = events(spark, sf_dir).select("event_id", pick(catalog.GRANTS, k).alias("role"), pick(catalog.SCHEMAS, F.floor(k / 4)).alias("schema_name"), pick(VERBS, F.floor(k / 20)).alias("verb"))
+    granted = F.broadcast(catalog.grants(spark).withColumn("found", F.lit(True)))  # a row a grant
+    return asked.join(granted, ["role", "schema_name", "verb"], "left").select("event_id", "role", "schema_name", "verb", F.coalesce("found", F.lit(False)).alias("allowed"))

@@ -22,4 +22,4 @@ def query(sql: str | None = None):
     return add
 
 
-from . import analysis, flow, ledgers, texts  # noqa: E402, F401  registers their queries
+from . import analysis, flow, ledgers, stores, texts  # noqa: E402, F401  registers their queries

@@ -22,10 +22,20 @@ def pii_redact_addresses(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", t.alias("text"))
 
 
-@query()
+LUHN = "list_sum(list_transform(range(1, len(d) + 1), lambda i: CASE WHEN (len(d) - i) % 2 = 0 THEN d[i]::INT ELSE d[i]::INT * 2 - CASE WHEN d[i]::INT > 4 THEN 9 ELSE 0 END END)) % 10 = 0"
+
+
+@query(f"""
+    WITH m AS (SELECT doc_id, regexp_replace(text, '{redact.EMAIL}', '«redacted»', 'g') AS t FROM documents),
+    p AS (SELECT doc_id, t, string_split_regex(t, '{redact.CARD}') AS pieces, regexp_extract_all(t, '{redact.CARD}') AS found FROM m WHERE regexp_matches(t, '{redact.CARD}')),
+    f AS (SELECT doc_id, i, pieces[i] AS piece, found[i] AS hit, regexp_replace(found[i], '[ -]', '', 'g') AS d FROM p, LATERAL (SELECT unnest(range(1, len(pieces) + 1)) AS i)),
+    c AS (SELECT doc_id, string_agg(piece || coalesce(CASE WHEN {LUHN} THEN '«redacted»(card:…' || right(d, 4) || ')' ELSE hit END, ''), '' ORDER BY i) AS t FROM f GROUP BY 1)
+    SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(c.t, m.t), '{redact.IBAN}', '«redacted»', 'g'), '{redact.ACCOUNT}', '«redacted»', 'g'), '{redact.IPV4}', '«redacted»', 'g'), '{redact.IPV6}', '«redacted»', 'g') AS text
+    FROM m LEFT JOIN c USING (doc_id)""")
 def pii_redact(spark, sf_dir):
-    """All patterns with the Luhn check; tested against a plain version, as SQL has no such check."""
-    return table(spark, sf_dir, "documents").select("doc_id", redact.redact(F.col("text")).alias("text"))
+    """The six plain patterns in their order, cards behind the Luhn check. What else redact() can do, clock times and
+    short addresses, is tested against a plain version."""
+    return table(spark, sf_dir, "documents").select("doc_id", redact.redact(F.col("text"), clock_safe=False).alias("text"))
 
 
 @query(r"""
@@ -44,7 +54,8 @@ def injection_hits(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", hits.alias("hits"))
 
 
-LINES = r"(SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (SELECT doc_id, string_split(regexp_replace(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '\n$', ''), chr(10)) AS l FROM documents))"
+LINES = r"""(SELECT doc_id, generate_subscripts(l, 1) AS line_no, unnest(l) AS line FROM (
+    SELECT doc_id, string_split(regexp_replace(regexp_replace(text, '\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]', chr(10), 'g'), '\n$', ''), chr(10)) AS l FROM documents WHERE text <> ''))"""
 
 
 @query(f"SELECT doc_id, line_no, line FROM {LINES}")
@@ -52,12 +63,17 @@ def doc_lines(spark, sf_dir):
     return claims.lines(table(spark, sf_dir, "documents"), "doc_id")
 
 
+def _fenced(spark, sf_dir):
+    """Lines that begin with The open and close blocks here, as the texts have no fences; what stands before a fence
+    varies."""
+    rows = claims.lines(table(spark, sf_dir, "documents"), "doc_id")
+    before = F.element_at(F.array(*map(F.lit, ("", "\t", "  ", "\u00a0\u2003", " \t\x1f"))), (F.col("line_no") % 5 + 1).cast("int"))
+    return claims.fenced(rows.withColumn("line", F.when(F.startswith("line", F.lit("The")), F.concat(before, F.lit("```"))).otherwise(F.col("line"))), "doc_id")
+
+
 @query(f"SELECT doc_id, line_no FROM {LINES} WHERE line LIKE 'The%'")
 def doc_fences(spark, sf_dir):
-    """Lines outside code: lines that begin with The open and close blocks here, as the texts have no fences."""
-    rows = claims.lines(table(spark, sf_dir, "documents"), "doc_id")
-    fences = claims.fenced(rows.withColumn("line", F.when(F.startswith("line", F.lit("The")), F.lit("```")).otherwise(F.col("line"))), "doc_id")
-    return fences.filter("is_fence").select("doc_id", "line_no")
+    return _fenced(spark, sf_dir).filter("is_fence").select("doc_id", "line_no")
 
 
 @query(f"""
@@ -65,9 +81,7 @@ def doc_fences(spark, sf_dir):
         FROM (SELECT *, (line LIKE 'The%')::INT AS f FROM {LINES})) WHERE f = 0 AND inside = 1""")
 def doc_code_lines(spark, sf_dir):
     """Lines inside such a block."""
-    rows = claims.lines(table(spark, sf_dir, "documents"), "doc_id")
-    fences = claims.fenced(rows.withColumn("line", F.when(F.startswith("line", F.lit("The")), F.lit("```")).otherwise(F.col("line"))), "doc_id")
-    return fences.filter("in_code and not is_fence").select("doc_id", "line_no")
+    return _fenced(spark, sf_dir).filter("in_code and not is_fence").select("doc_id", "line_no")
 
 
 TARGET = claims.TARGET_WORDS.replace("(?U)(?i)", "")
@@ -79,21 +93,28 @@ def doc_target_lines(spark, sf_dir):
     return rows.filter(claims.is_target(F.col("line"))).select("doc_id", "line_no")
 
 
-NOTES = [
-    ("a.md", "precision 0.91 here\nprecision 0.91 run_id=run-abc123\nprecision 0.91 run_id=nope-1\nrecall of 95 % run_id=run-dev01"),
-    ("b.md", "p95 120 ms run_id=run-dev01\nthe target is precision 0.9\n```\nF1 0.5\n```\nF1 0.5\nevidence precision 0.8 run_id=run-ext01\np99 3 s run_id=run-dirty"),
-    ("c.md", "cost was $0.20 per investigation\nthroughput 5,000 tx/s run_id=run-abc123\naccuracy 0.9 run_id=run-dirty run_id=run-abc123\nplain"),
-]
-RUNS = [("run-abc123", "SYNTHETIC", "EVAL", "false"), ("run-dev01", "SYNTHETIC", "dev", "false"), ("run-ext01", "EXTERNAL", "EVAL", "false"), ("run-dirty", "SYNTHETIC", "CI", "true")]
+#: What a turn of a conversation publishes, by a rule of its number; the last two open or close a block and say nothing.
+NOTES = (
+    "precision 0.91 here", "precision 0.91 run_id=run-abc123", "recall of 95 % run_id=run-dev01", "p95 120 ms run_id=run-dev01", "precision 0.91 run_id=nope-1", "the target is precision 0.9",
+    "evidence precision 0.8 run_id=run-ext01", "p99 3 s run_id=run-dirty", "accuracy 0.9 run_id=run-dirty run_id=run-abc123", "cost was $0.20 per investigation", "throughput 5,000 tx/s run_id=run-abc123", "\t```", "",
+)
+RUNS = [("run-abc123", "SYNTHETIC", "EVAL", False), ("run-dev01", "SYNTHETIC", "dev", False), ("run-ext01", "EXTERNAL", "EVAL", False), ("run-dirty", "SYNTHETIC", "CI", True)]
 
 
 @query("""
-    SELECT * FROM (VALUES ('a.md', 1::BIGINT, 'no run_id'), ('a.md', 3, 'unknown run_id'), ('a.md', 4, 'quality below EVAL'), ('b.md', 6, 'no run_id'), ('b.md', 7, 'agent metric on external data'), ('b.md', 8, 'dirty worktree'),
-        ('c.md', 1, 'no run_id'), ('c.md', 3, 'quality below EVAL'), ('c.md', 3, 'dirty worktree')) v(path, line_no, violation)""")
+    WITH t AS (SELECT conv_id, turn, (conv_id * 5 + turn * 3) % 13 AS k, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS line_no FROM conversations),
+    f AS (SELECT *, coalesce(sum((k = 11)::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 AS inside FROM t)
+    SELECT conv_id, line_no, unnest(CASE WHEN k IN (0, 9) THEN ['no run_id'] WHEN k = 2 THEN ['quality below EVAL'] WHEN k = 4 THEN ['unknown run_id'] WHEN k = 6 THEN ['agent metric on external data']
+        WHEN k = 7 THEN ['dirty worktree'] WHEN k = 8 THEN ['quality below EVAL', 'dirty worktree'] ELSE [] END) AS violation FROM f WHERE inside = 0""")
 def claim_lint(spark, sf_dir):
-    """Published numbers against the runs they cite."""
-    docs = spark.createDataFrame(NOTES, "path string, text string")
-    return claims.lint(docs, spark.createDataFrame(RUNS, "run_id string, track string, llm_tier string, dirty_worktree string"), "path")
+    """Published numbers against the runs they cite. A line is a turn's note, or its text without digits where it has
+    none."""
+    k = (F.col("conv_id") * 5 + F.col("turn") * 3) % 13
+    quiet = F.regexp_replace(F.translate("text", "0123456789`", ""), claims.BREAK, " ")
+    line = F.when(k == 12, quiet).otherwise(F.element_at(F.array(*map(F.lit, NOTES)), (k + 1).cast("int")))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("t"))
+    docs = turns.select("conv_id", F.array_join(F.transform("t", lambda x: x["line"]), "\n").alias("text"))
+    return claims.lint(docs, spark.createDataFrame(RUNS, "run_id string, track string, llm_tier string, dirty_worktree boolean"), "conv_id")
 
 
 @query("""

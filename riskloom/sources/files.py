@@ -25,10 +25,10 @@ def event_log(spark: SparkSession, path: str, kind: str = "json", stream: bool =
     return reader.format(kind).load(path)
 
 
-def manifests(spark: SparkSession, path: str) -> DataFrame:
+def manifests(spark: SparkSession, path: str, glob: str = "*.json") -> DataFrame:
     """Run manifests by run_id; files that are not JSON or have no run id are passed over. Of one run id the file
     last in order of name counts."""
-    raw = spark.read.schema(T.StructType([*MANIFEST.fields, T.StructField("_corrupt_record", T.StringType())])).option("multiLine", True).option("mode", "PERMISSIVE").json(path, pathGlobFilter="*.json")
+    raw = spark.read.schema(T.StructType([*MANIFEST.fields, T.StructField("_corrupt_record", T.StringType())])).option("multiLine", True).option("mode", "PERMISSIVE").json(path, pathGlobFilter=glob)
     rows = raw.select("*", F.col("_metadata.file_path").alias("file")).filter(F.coalesce(F.col("run_id"), F.lit("")) != "").drop("_corrupt_record")
     newest = rows.groupBy("run_id").agg(F.max("file").alias("file"))
     return rows.join(newest, ["run_id", "file"], "left_semi").drop("file")
@@ -39,13 +39,12 @@ def capabilities(spark: SparkSession, path: str) -> DataFrame:
 
 
 def texts(spark: SparkSession, path: str, glob: str = "*.md") -> DataFrame:
-    return spark.read.option("wholetext", True).option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True, pathGlobFilter=glob, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def pins(path: str, table: str = "tool.pins") -> dict[str, str]:
-    """Version pins from a TOML table; raises where the table is absent."""
-    with open(path, "rb") as f:
-        found = tomllib.load(f)
+def pins(spark: SparkSession, path: str, table: str = "tool.pins") -> dict[str, str]:
+    """Version pins from a TOML table, wherever Spark can read it; raises where the table is absent."""
+    found = tomllib.loads(spark.read.text(path, wholetext=True).first()[0])
     for part in table.split("."):
         if part not in found:
             raise KeyError(f"{path} has no [{table}]")
@@ -89,6 +88,14 @@ def merge(existing: DataFrame | None, updates: DataFrame, keys: list[str], order
     return dedup(both, keys, [-F.unix_micros(F.col(order))])
 
 
+def merge_edges(spark: SparkSession, existing: DataFrame | None, updates: DataFrame, path: str, part: str) -> DataFrame:
+    """The graph's store: edges of both, each once, written as a new version by ``part`` of the source. Returns what was
+    written."""
+    both = updates if existing is None else existing.unionByName(updates)
+    both.distinct().write.mode("errorifexists").partitionBy(part).parquet(path)
+    return spark.read.schema(both.schema).parquet(path)
+
+
 def relational(spark: SparkSession, url: str, table: str, column: str, lower: int, upper: int, parts: int, **properties) -> DataFrame:
     """A database table read in parallel slices of a numeric column."""
     return spark.read.jdbc(url, table, column=column, lowerBound=lower, upperBound=upper, numPartitions=parts, properties=properties)

@@ -64,24 +64,63 @@ class Progress(StreamingQueryListener):
 
 
 class LatestStore:
-    """A store of the newest value per key behind a small port; an online store is one more class with ``put``."""
+    """The newest value per key, in this process: for tests and small tables, as its rows come to the driver."""
 
     def __init__(self):
         self.rows: dict = {}
         self.batches: set[int] = set()
 
-    def put(self, key, value: dict) -> None:
-        self.rows[key] = value
+    def save(self, newest: DataFrame, key: str, order: str, batch: int) -> None:
+        for row in newest.toLocalIterator():
+            value = row.asDict()
+            self.rows[value.pop(key)] = value
+        self.batches.add(batch)
+
+
+class TableStore:
+    """The newest value per key as files of each batch; a batch that is retried overwrites its own."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def save(self, newest: DataFrame, key: str, order: str, batch: int) -> None:
+        newest.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch}")
+
+    def latest(self, spark, key: str, order: str) -> DataFrame:
+        rows = spark.read.parquet(self.path)
+        columns = [c for c in rows.columns if c not in (key, "batch_id")]
+        newest = rows.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(order, "batch_id")).alias("v"))
+        return newest.select(key, *[F.col(f"v.{c}").alias(c) for c in columns])
+
 
+class RemoteStore:
+    """An online store that each task writes to: ``connect`` gives a client with ``put(key, value)`` and ``close()``, in the
+    task. Writes are upserts of the same values, so a task or batch that runs again does no harm."""
 
-def reconcile(store: LatestStore, key: str, order: str, marker: str = "RECONCILED"):
-    """A foreachBatch handler that writes each key's newest row to the store. Rows go to the driver in chunks of a
-    partition, as the store is a client there; a batch that is retried writes the same values again."""
+    def __init__(self, connect):
+        self.connect = connect
+
+    def save(self, newest: DataFrame, key: str, order: str, batch: int) -> None:
+        connect = self.connect
+
+        def write(rows) -> None:
+            client = connect()
+            try:
+                for row in rows:
+                    value = row.asDict()
+                    client.put(value.pop(key), value)
+            finally:
+                client.close()
+
+        newest.foreachPartition(write)
+
+
+def reconcile(store, key: str, order: str, marker: str = "RECONCILED"):
+    """A foreachBatch handler that saves each key's newest row of the batch, marked, to a store."""
 
     def run(df: DataFrame, batch: int) -> None:
-        newest = df.groupBy(key).agg(F.max_by(F.struct(*[c for c in df.columns if c != key]), order).alias("v"))
-        for row in newest.toLocalIterator():
-            store.put(row[key], row["v"].asDict() | {"source": marker})
-        store.batches.add(batch)
+        rest = [c for c in df.columns if c != key]
+        newest = df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("v"))
+        store.save(newest.select(key, *[F.col(f"v.{c}").alias(c) for c in rest], F.lit(marker).alias("source")), key, order, batch)
 
     return run

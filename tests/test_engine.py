@@ -1,14 +1,17 @@
 import datetime as dt
+import hashlib
 import json
+import math
 import os
 import random
+import statistics
 
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom import catalog
 from riskloom.functions import ids, measures
-from riskloom.operators import graph, ledger, metrics, ml, rules, scenarios, validation
+from riskloom.operators import claims, graph, ledger, metrics, ml, rules, scenarios, validation
 from riskloom.schemas import CANONICAL, PAYLOADS
 from riskloom.sources import adapters, files, generator
 
@@ -96,13 +99,13 @@ def test_trust_stamp(spark):
     assert one(spark, validation.least_trusted(F.lit("SYSTEM"), F.lit("who knows"))) == "UNTRUSTED"
 
 
-def test_pins_compare_whole_parts(tmp_path):
+def test_pins_compare_whole_parts(spark, tmp_path):
     assert validation.pinned({"spark": "3.4", "java": "17"}, {"spark": "3.40.1", "java": "17.0.2"}) == ["spark: 3.40.1 is not 3.4"]
     assert validation.pinned({"spark": "3.4"}, {"delta": "4"}) == ["spark: missing", "delta: no pin"]
     (tmp_path / "p.toml").write_text('[tool.pins]\nspark = "4.1"\n')
-    assert files.pins(f"{tmp_path}/p.toml") == {"spark": "4.1"}
+    assert files.pins(spark, f"{tmp_path}/p.toml") == {"spark": "4.1"}
     with pytest.raises(KeyError):
-        files.pins(f"{tmp_path}/p.toml", "tool.none")
+        files.pins(spark, f"{tmp_path}/p.toml", "tool.none")
 
 
 # --- rules
@@ -176,7 +179,6 @@ def test_components_of_long_chains_and_random_graphs(spark, monkeypatch):
     assert graph.components(spark.createDataFrame([(1, 1)], "src long, dst long")).count() == 0
 
 
-
 # --- metrics
 
 
@@ -218,9 +220,45 @@ def test_isolation_and_ranks(spark):
     assert [r.x for r in mix.collect()] == [0.25, 0.5, None]
 
 
+def test_medians_of_a_hot_group(spark):
+    rng = random.Random(4)
+    rows = [("hot", rng.choice([rng.gauss(0, 1)] * 3 + [0.5])) for _ in range(5001)] + [(f"g{i}", float(v)) for i in range(30) for v in range(i + 1)] + [(None, 3.0), (None, 5.0), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    want = {}
+    for g in {g for g, _ in rows}:
+        values = [x for h, x in rows if h == g and x is not None]
+        if values:
+            want[g] = statistics.median(values)
+    assert {r.g: r.m for r in metrics.group_median(df, "g", "x", "m", parts=8).collect()} == want
+    z = {(r.g, r.x): r.robust_z for r in metrics.robust_z(df, "g", "x").collect()}
+    mad = statistics.median(abs(x - want["hot"]) for g, x in rows if g == "hot")
+    assert all(abs(z[g, x] - 0.6745 * (x - want[g]) / mad) < 1e-9 for g, x in rows if g == "hot")
+    assert z["g0", 0.0] is None and z["none", None] is None and len(z) == len(set(rows))
+
+
+def test_quantile_cuts_and_daily_stability(spark):
+    df = spark.createDataFrame([(float(i % 97), T0 + dt.timedelta(hours=i)) for i in range(24 * 30)], "v double, at timestamp")
+    values = sorted(float(i % 97) for i in range(24 * 15))
+    assert metrics.quantile_cuts(df.limit(24 * 15), "v", 10, parts=4) == sorted({values[math.ceil(len(values) * k / 10) - 1] for k in range(1, 10)})
+    days = metrics.psi_by_day(df, "v", "at", "2024-01-16T00:00:00Z").collect()
+    assert len(days) == 15 and all(r.n == 24 and r.psi > 0 for r in days)
+    assert metrics.psi_by_day(df.limit(0), "v", "at", "2024-01-16T00:00:00Z").count() == 0
+
+
 # --- ledger
 
 
+def test_a_long_chain_is_folded_in_order(spark):
+    rows = [("long", i, f"h{i}") for i in range(25_000)] + [(f"e{i % 7}", i, f"p{i}") for i in range(500)]
+    random.Random(1).shuffle(rows)
+    got = {(r.entity, r.seq): (r.prev_hash, r.chain_hash) for r in ledger.build_chain(spark.createDataFrame(rows, "entity string, seq long, payload_hash string"), "entity", "seq", "payload_hash").collect()}
+    last = {}
+    for entity, seq, payload in sorted(rows):
+        before = last.get(entity, ledger.GENESIS)
+        last[entity] = hashlib.sha256(f"{before}|{payload}".encode()).hexdigest()
+        assert got[entity, seq] == (before, last[entity])
+
+
 def test_a_broken_chain_breaks_once(spark):
     rows = spark.createDataFrame([("e", i, f"hash{i}") for i in range(6)], "entity string, seq long, payload_hash string")
     chain = ledger.build_chain(rows, "entity", "seq", "payload_hash")
@@ -240,6 +278,16 @@ def test_an_uncited_claim_is_unsupported(spark):
 # --- sources
 
 
+def test_event_log_reads_topics(spark, tmp_path):
+    """Files now; topics where the connector is there, which it is not here, so the plan is refused by name."""
+    spark.range(3).selectExpr("cast(id as string) as event_id", "'x' as event_type").write.json(f"{tmp_path}/log")
+    assert files.event_log(spark, f"{tmp_path}/log").select("event_id").count() == 3
+    assert files.event_log(spark, f"{tmp_path}/log", stream=True).isStreaming
+    for stream in (False, True):
+        with pytest.raises(Exception, match="(?i)kafka"):
+            files.event_log(spark, "transactions.v1", "kafka", stream, **{"kafka.bootstrap.servers": "localhost:9"})
+
+
 def test_generator_is_reproducible(spark):
     a, b = generator.transactions(spark, 3000, 5), generator.transactions(spark, 3000, 5).repartition(7)
     assert adapters.digest(a) == adapters.digest(b) != adapters.digest(generator.transactions(spark, 3000, 6))
@@ -275,6 +323,11 @@ def test_files(spark, tmp_path):
     assert [(r.run_id, r.track) for r in files.manifests(spark, f"{tmp_path}/m").collect()] == [("r1", "NEWER")]
     (tmp_path / "s.json").write_text(json.dumps({"project": "p", "current_phase": "P1", "capabilities": [{"id": "P0.a", "phase": "P0", "name": "n", "status": "PASS", "evidence": {"command": "c", "verified_at": None, "result": None}}]}))
     assert files.capabilities(spark, f"{tmp_path}/s.json").first().evidence.command == "c"
+    (tmp_path / "n").mkdir()
+    (tmp_path / "n/a.md").write_text("one\ntwo\u2028three\x0bfour\r\nfive\n")
+    (tmp_path / "n/b.md").write_text("")
+    found = claims.lines(files.texts(spark, f"{tmp_path}/n"), "path")
+    assert [r.line for r in found.orderBy("path", "line_no").collect()] == ["one", "two", "three", "four", "five"]
     pin = files.freeze(spark.range(50), f"{tmp_path}/frozen", "f")
     assert files.thaw(spark, pin).count() == 50
     with pytest.raises(ValueError, match="pinned"):

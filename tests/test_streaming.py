@@ -105,12 +105,31 @@ def test_native_twins(spark, tmp_path, name):
         assert sum(r.n for r in got) == 12
 
 
-def test_reconcile_keeps_the_newest_per_key(spark):
+class FileClient:
+    def __init__(self, path):
+        self.path = path
+        os.makedirs(path, exist_ok=True)
+
+    def put(self, key, value):
+        with open(f"{self.path}/{key}", "w") as f:
+            f.write(str(value["v"]))
+
+    def close(self):
+        pass
+
+
+def test_reconcile_keeps_the_newest_per_key(spark, tmp_path):
     store = state.LatestStore()
     handler = state.reconcile(store, "k", "at")
     df = spark.createDataFrame([("x", 1, 5), ("x", 2, 6), ("y", 1, 7)], "k string, at long, v long")
     handler(df, 0)
     handler(df, 0)
+    table = state.TableStore(f"{tmp_path}/store")
+    for batch, rows in ((0, df), (0, df), (1, spark.createDataFrame([("x", 1, 9), ("z", 5, 1)], df.schema))):
+        state.reconcile(table, "k", "at")(rows, batch)
+    assert {(r.k, r["at"], r.v) for r in table.latest(spark, "k", "at").collect()} == {("x", 2, 6), ("y", 1, 7), ("z", 5, 1)}
+    state.reconcile(state.RemoteStore(lambda: FileClient(f"{tmp_path}/remote")), "k", "at")(df, 0)
+    assert {p: open(f"{tmp_path}/remote/{p}").read() for p in os.listdir(f"{tmp_path}/remote")} == {"x": "6", "y": "7"}  # written in the tasks
     assert store.rows == {"x": {"at": 2, "v": 6, "source": "RECONCILED"}, "y": {"at": 1, "v": 7, "source": "RECONCILED"}}
     assert store.batches == {0}
 
