@@ -1,66 +1,23 @@
-"""Shared pieces: the shared folder, lineage cuts, row keys, and joins that hold up under hot keys."""
+"""Shared pieces: lineage cuts in the shared folder, row keys, and joins that hold up under hot keys."""
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskloom.lineage import cut as materialize
+from riskloom.lineage import discard, release, shared_folder, shared_path
+
+__all__ = ["materialize", "discard", "release", "shared_folder", "shared_path"]
+
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-#: By application, the folder of a local run that names none.
-_LOCAL: dict[str, str] = {}
 
 #: Rows up to which a small table is broadcast, after it has been counted.
 BROADCAST_ROWS = 50_000
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; set only for local runs that name none."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = tempfile.mkdtemp(prefix="riskloom-")
-        atexit.register(shutil.rmtree, _LOCAL[app], ignore_errors=True)
-    return _LOCAL[app]
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/riskloom/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends here, so a lost executor costs no
-    earlier stage, and the shuffle files behind it are deleted once the table is written."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    before = spark.conf.get(CLEANUP)
-    spark.conf.set(CLEANUP, "true")
-    try:
-        df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete every table this application has materialized; call it when results have been read."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/riskloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(columns, base: str) -> str:
     """A column name that ``columns`` does not have, whatever the case."""
     taken = {c.lower() for c in columns}
@@ -70,6 +27,15 @@ def fresh(columns, base: str) -> str:
     return name
 
 
+def aside(docs: DataFrame, names: list[str]) -> DataFrame:
+    """``docs`` with room for columns ``names``: its own of that name, whatever the case, stay as ``<name>_input``."""
+    taken = {n.lower() for n in names}
+    for c in docs.columns:
+        if c.lower() in taken:
+            docs = docs.withColumnRenamed(c, fresh([*docs.columns, *names], f"{c}_input"))
+    return docs
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
@@ -87,9 +53,16 @@ def small_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "inne
     return big.join(small, on, how)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` dealt over all cores, where rows are few and small but the work on each is not; the size of files would
+    put them in a few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def in_arrow(df: DataFrame, function, schema) -> DataFrame:
-    """mapInArrow over batches that are bounded by bytes and not by rows alone, as texts may be long; a session that
-    sets its own bound keeps it."""
+    """mapInArrow over batches that are bounded by bytes and not by rows alone, as texts may be long. The bound is a
+    session setting that is read when the plan runs, so it can't be put back here; a session that sets its own keeps it."""
     if df.sparkSession.conf.get(BATCH_BYTES, None) is None:
         df.sparkSession.conf.set(BATCH_BYTES, str(8 << 20))
     return df.mapInArrow(function, schema)

@@ -9,13 +9,27 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import in_arrow, materialize, row_hash, text_or_empty
-from .components import components
+from riskloom.operators.graph import components
+
+from .common import discard, in_arrow, materialize, row_hash, small_join, spread, text_or_empty
 
 SEED = 42
 BLOCK = 1 << 15
 
 
+def votes(hashes: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, the highest first."""
+    out = np.zeros(64, dtype=np.int64)
+    for start in range(0, len(hashes), BLOCK):
+        out += np.unpackbits(hashes[start : start + BLOCK].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return out
+
+
+def majority(ones: np.ndarray, total: int) -> int:
+    """The bits that more than half of ``total`` hashes have."""
+    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
+
+
 def fingerprint(data: bytes, width: int = 3) -> int:
     """64-bit SimHash over the word shingles of UTF-8 ``data``, A-Z lower-cased: a bit is set when more than
     half of the shingles' XXH64 values have it. Fewer words than ``width`` make one shingle; none make zero."""
@@ -28,9 +42,8 @@ def fingerprint(data: bytes, width: int = 3) -> int:
     for start in range(0, total, BLOCK):
         stop = min(total, start + BLOCK)
         rows = zip(*(words[start + k : stop + k] for k in range(width))) if len(words) >= width else [words]
-        hashes = np.array([digest(b" ".join(r), SEED) for r in rows], dtype=">u8")
-        ones += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(ones * 2 > total).tobytes(), "big")
+        ones += votes(np.array([digest(b" ".join(r), SEED) for r in rows], dtype=np.uint64))
+    return majority(ones, total)
 
 
 def _fingerprints(width: int):
@@ -69,9 +82,11 @@ def links(nodes: DataFrame, bucket_limit: int = 512) -> DataFrame:
     within the join, each pair under the first variant it shares only. The fingerprints of larger buckets are
     linked through their 2,016 two-wildcard keys over all 64 bits instead: such a key holds at most four
     distinct fingerprints, all within two bits, so linking each to the smallest loses no connection."""
-    keyed = nodes.select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
-    sized = keyed.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("key"))).filter("n > 1")
-    sized = materialize(sized, "variants")
+    keyed = spread(nodes).select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
+    # counted with map-side combining, as one bucket may hold a large share of the fingerprints
+    sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
+    sized = materialize(small_join(keyed, sizes, ["key"]), "variants")
+    discard(sizes)
     a = sized.filter(F.col("n") <= bucket_limit).select("key", F.col("fp").alias("a"))
     b = a.select(F.col("key").alias("key_b"), F.col("a").alias("b"))
     differ = F.col("a").bitwiseXOR(F.col("b"))
@@ -94,15 +109,17 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     links between fingerprints at 2 or fewer differing bits.
 
     A null text counts as empty and an empty text has fingerprint zero, linked like any other. Null ids take part,
-    but are a component's id only if it has no other. Repeated rows share a fingerprint. An empty table gives an
-    empty result; further columns are not read."""
+    but are a component's id only if it has no other. Repeated rows share a fingerprint; texts are read whole, in
+    blocks. An empty table gives an empty result; further columns are not read, whatever their names."""
     members = materialize(fingerprints(docs, id_column, text_column, width), "fingerprints")
     nodes = materialize(members.groupBy("fp").agg(F.min("id").alias("first_id")), "nodes")
-    roots = components(links(nodes.select("fp"), bucket_limit))
-    placed = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    roots = components(links(nodes.select("fp"), bucket_limit), "a", "b")
+    placed = nodes.join(roots.select(F.col("node").alias("fp"), F.col("component").alias("root")), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     placed = materialize(placed, "placed")
+    discard(nodes, roots)
     named = placed.groupBy("root").agg(F.min("first_id").alias("component"))
     per_node = materialize(placed.join(named, "root").select("fp", "component"), "components")
+    discard(placed)
     return members.join(per_node, "fp").select("id", "h", "fp", "component")
 
 
