@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -23,17 +24,31 @@ STRIP = ".,;:!?\"'()[]{}<>|*#$%&~^=_«»“”‘’¿¡…-"
 WIDTH, LITERALS = 8, 4
 NUM, UNIT, NAME = 1, 2, 3
 VOCABULARY = 300_000
+CROWD = 64  # items that share a window before it waits for another window of its item
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
+class Tokens(NamedTuple):
+    """Spellings of a text, and of those that are not only symbols: places among the spellings, hashes and slot types,
+    the same two with names taken for words, and hashes of the words alone."""
+
+    raw: list[str]
+    at: np.ndarray
+    hashes: np.ndarray
+    kinds: np.ndarray
+    plain: np.ndarray
+    plain_kinds: np.ndarray
+    words: np.ndarray
+
+
 class Canonical(dict):
     """Template tokens of a text. A token is a typed slot or a folded word; its kind is kept by spelling, in this
     table, which is emptied when it is full; that changes nothing but speed."""
 
     def __init__(self):
         self.clear()
-        # by spelling: hash within a sentence, hash as its first word
-        self.hashes = np.zeros((1 << 16, 2), np.uint64)
+        # by spelling: hash within a sentence, hash as its first word, hash of the word itself
+        self.hashes = np.zeros((1 << 16, 3), np.uint64)
         # by spelling: slot within a sentence, slot as its first word, ends a sentence, has only symbols
         self.marks = np.zeros((1 << 16, 4), np.int8)
 
@@ -47,13 +62,11 @@ class Canonical(dict):
         if at == len(self.hashes):
             self.hashes, self.marks = np.concatenate([self.hashes] * 2), np.concatenate([self.marks] * 2)
         ends = raw[-1:] in ".!?:|" or raw.rstrip("\"')]»”").endswith((".", "!", "?"))
-        self.hashes[at] = named or value, kind or value
+        self.hashes[at] = named or value, kind or value, value
         self.marks[at] = named, kind, ends, not core
         return at
 
-    def tokens(self, text: str):
-        """Token spellings, and, without tokens that are only symbols: hashes, slot types, the same two with names taken
-        for words, and places among the spellings."""
+    def tokens(self, text: str) -> Tokens:
         if len(self) > VOCABULARY:
             self.__init__()
         raw = text.split()
@@ -61,13 +74,13 @@ class Canonical(dict):
             raw = [p for t in raw for p in (JOINED.split(t) if t[:1].isdigit() or t[-1:].isalpha() and any(map(str.isdigit, t)) else (t,))]
         if not raw:
             none = np.zeros(0, np.int64)
-            return [], none.view(np.uint64), none, none.view(np.uint64), none, none
+            return Tokens([], none, none.view(np.uint64), none, none.view(np.uint64), none, none.view(np.uint64))
         at = np.fromiter(map(self.__getitem__, raw), np.int64, len(raw))
         marks = self.marks[at]
         # the first token opens a sentence, and each that follows one that ends it
         column = np.concatenate([[1], marks[:-1, 2]])
         keep = np.flatnonzero(marks[:, 3] == 0)
-        return raw, self.hashes[at, column][keep], marks[np.arange(len(at)), column][keep], self.hashes[at, 1][keep], marks[keep, 1], keep
+        return Tokens(raw, keep, self.hashes[at, column][keep], marks[np.arange(len(at)), column][keep], self.hashes[at, 1][keep], marks[keep, 1], self.hashes[at, 2][keep])
 
 
 def windows(hashes: np.ndarray, kinds: np.ndarray, width: int = WIDTH, literals: int = LITERALS) -> tuple[np.ndarray, np.ndarray]:
@@ -84,12 +97,19 @@ def windows(hashes: np.ndarray, kinds: np.ndarray, width: int = WIDTH, literals:
     return use, out[use]
 
 
+def whole(words: np.ndarray, width: int) -> tuple[int, np.ndarray]:
+    """For items without a template window: the width of their windows of words as they are, and the windows' hashes. An
+    item of fewer words than ``width`` is one window of its own length."""
+    own = min(width, len(words))
+    return own, windows(words, np.zeros(len(words), np.int8), own, 0)[1] if own else np.zeros(0, np.uint64)
+
+
 class Wanted:
-    """Hashes that some benchmark item has. A bit table, far sparser than full, rules out nearly all others before the
-    sorted hashes are searched."""
+    """Hashes that some benchmark item has, sorted. A bit table, far sparser than full, rules out nearly all others
+    before they are searched."""
 
     def __init__(self, hashes: np.ndarray):
-        self.hashes = np.unique(hashes)
+        self.hashes = hashes
         self.shift = np.uint64(64 - min(26, max(10, int(len(self.hashes)).bit_length() + 5)))
         self.maybe = np.zeros(1 << int(np.uint64(64) - self.shift), bool)
         self.maybe[self.hashes >> self.shift] = True
@@ -101,48 +121,101 @@ class Wanted:
         return place[self.hashes[near] == values[place]] if len(self.hashes) else place[:0]
 
 
-def _slots(raw, kinds, at, place: int, width: int) -> list[str]:
-    return [raw[at[i]].strip(STRIP).lower() for i in range(place, place + width) if kinds[i]]
+def _slots(tokens: Tokens, kinds, place: int, width: int) -> list[str]:
+    return [tokens.raw[tokens.at[i]].strip(STRIP).lower() for i in range(place, place + width) if kinds[i]]
+
 
+def _found(tokens: Tokens, width: int, literals: int):
+    """(places, hashes, whether a name is a slot) of the template windows of a text."""
+    use, values = windows(tokens.hashes, tokens.kinds, width, literals)
+    typed = np.ones(len(use), bool)
+    if (tokens.kinds == NAME).any():
+        # windows with a name also with the name as a word, for texts that change only the case
+        names = np.concatenate([[0], np.cumsum(tokens.kinds == NAME)])
+        more, plain = windows(tokens.plain, tokens.plain_kinds, width, literals)
+        own = names[more + width] > names[more]
+        use, values, typed = np.concatenate([use, more[own]]), np.concatenate([values, plain[own]]), np.concatenate([typed, np.zeros(own.sum(), bool)])
+    return use, values, typed
 
-def _windows_of(width: int, literals: int, wanted):
-    """Window rows of a task; ``wanted`` (a broadcast Wanted) keeps only windows that some benchmark item has."""
+
+class _Rows:
+    """Window rows of a batch as they are found."""
+
+    def __init__(self):
+        self.row, self.place, self.window, self.slots, self.words = [], [], [], [], []
+
+    def add(self, row: int, places, hashes: np.ndarray, slots, words: int = 0) -> None:
+        for p, v, s in zip(places, hashes.view(np.int64).tolist(), slots, strict=True):
+            self.row.append(row)
+            self.place.append(p)
+            self.window.append(v)
+            self.slots.append(s)
+            self.words.append(words)
+
+    def batch(self, ids, hs) -> pa.RecordBatch:
+        picked = pa.array(self.row, pa.int64())
+        columns = [ids.take(picked), hs.take(picked), pa.array(self.place, pa.int32()), pa.array(self.window, pa.int64()), pa.array(self.slots, pa.list_(pa.string())), pa.array(self.words, pa.int32())]
+        return pa.RecordBatch.from_arrays(columns, names=["id", "h", "place", "window", "slots", "words"])
+
+
+def _item_windows(width: int, literals: int):
+    """Window rows of items; ``words`` is 0, or the width of a window of words as they are."""
 
     def run(batches):
         canonical = Canonical()
         for batch in batches:
-            ids, hs, place, found, slots = [], [], [], [], []
+            rows = _Rows()
             for row, text in enumerate(batch.column(2).to_pylist()):
-                raw, hashes, kinds, plain, plain_kinds, at = canonical.tokens(text)
-                use, values = windows(hashes, kinds, width, literals)
-                named = len(use)
-                if (kinds == NAME).any():
-                    # windows with a name also with the name as a word, for texts that change only the case
-                    names = np.concatenate([[0], np.cumsum(kinds == NAME)])
-                    more, words = windows(plain, plain_kinds, width, literals)
-                    own = names[more + width] > names[more]
-                    use, values = np.concatenate([use, more[own]]), np.concatenate([values, words[own]])
-                kind_of = np.arange(len(use)) < named
-                if wanted is not None:
-                    hit = wanted.value.among(values)
-                    use, values, kind_of = use[hit], values[hit], kind_of[hit]
-                for p, v, typed in zip(use.tolist(), values.view(np.int64).tolist(), kind_of.tolist(), strict=True):
-                    ids.append(row)
-                    place.append(p)
-                    found.append(v)
-                    slots.append(_slots(raw, kinds if typed else plain_kinds, at, p, width))
-            picked = pa.array(ids, pa.int64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(picked), batch.column(1).take(picked), pa.array(place, pa.int32()), pa.array(found, pa.int64()), pa.array(slots, pa.list_(pa.string()))],
-                names=["id", "h", "place", "window", "slots"])
+                tokens = canonical.tokens(text)
+                use, values, typed = _found(tokens, width, literals)
+                rows.add(row, use.tolist(), values, [_slots(tokens, tokens.kinds if t else tokens.plain_kinds, p, width) for p, t in zip(use.tolist(), typed.tolist(), strict=True)])
+                if not len(use) and any(map(str.isalnum, text)):
+                    own, values = whole(tokens.words, width)
+                    rows.add(row, range(len(values)), values, [[]] * len(values), own)
+            yield rows.batch(batch.column(0), batch.column(1))
 
     return run
 
 
-def template_windows(rows: DataFrame, wanted=None, width: int = WIDTH, literals: int = LITERALS) -> DataFrame:
-    """``rows`` (id, h, t) to one row (id, h, place, window, slots) per template window."""
-    kind = rows.schema["id"].dataType.simpleString()
-    return rows.transform(in_arrow, _windows_of(width, literals, wanted), f"id {kind}, h long, place int, window long, slots array<string>")
+def _text_windows(width: int, literals: int, widths: list[int], hashes):
+    """Window rows of documents; ``hashes`` (broadcast, sorted) keeps only windows that some item has, ``widths`` are
+    those of items that are matched by their words."""
+
+    def run(batches):
+        canonical, wanted = Canonical(), None if hashes is None else Wanted(hashes.value)
+        for batch in batches:
+            rows = _Rows()
+            for row, text in enumerate(batch.column(2).to_pylist()):
+                tokens = canonical.tokens(text)
+                use, values, typed = _found(tokens, width, literals)
+                if wanted:
+                    hit = wanted.among(values)
+                    use, values, typed = use[hit], values[hit], typed[hit]
+                rows.add(row, use.tolist(), values, [_slots(tokens, tokens.kinds if t else tokens.plain_kinds, p, width) for p, t in zip(use.tolist(), typed.tolist(), strict=True)])
+                for own in widths:
+                    use, values = windows(tokens.words, np.zeros(len(tokens.words), np.int8), own, 0)
+                    if wanted:
+                        hit = wanted.among(values)
+                        use, values = use[hit], values[hit]
+                    rows.add(row, use.tolist(), values, [[]] * len(use), own)
+            yield rows.batch(batch.column(0), batch.column(1))
+
+    return run
+
+
+def _windows_of(rows: DataFrame, function) -> DataFrame:
+    """``rows`` (id, h, t) to one row per window."""
+    return rows.transform(in_arrow, function, f"id {rows.schema['id'].dataType.simpleString()}, h long, place int, window long, slots array<string>, words int")
+
+
+def _leading(items: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``items`` with ``leads``: false for a window that more than CROWD items share, if its item has enough others. Of
+    an item's n windows any ``need`` hold one of the n - need + 1 rarest, so a text that matches the item has one of
+    the windows that lead."""
+    crowd = items.groupBy("window").agg(F.count_distinct("item").alias("crowd"))
+    at_place = items.join(crowd, "window").withColumn("most", F.max("crowd").over(Window.partitionBy("item", "item_place")))
+    ranked = at_place.withColumn("rank", F.dense_rank().over(Window.partitionBy("item").orderBy("most", "item_place")))
+    return ranked.join(sizes, "item").withColumn("leads", (F.col("most") <= CROWD) | (F.col("rank") <= F.col("item_windows") - F.col("need") + 1)).select(*items.columns, "leads")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH,
@@ -150,53 +223,74 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     """One row (id, h, item_id, windows, item_windows) per document and benchmark item found in it.
 
     Texts become templates: numbers, units and names (capitalised words within a sentence) are typed slots, all
-    else is folded to lower case without punctuation; windows with names also stand with the names as words. Windows of ``width`` template tokens are joined by hash. The
-    matched windows of a document and item on one diagonal count if their slots agree: each value of the item
-    always meets the same value in the document, as in a question with other numbers. A document is contaminated
-    by an item when the windows that count are as many as ``run`` words in sequence have, or make up
-    ``share`` of the item's windows if that is less (two at least, or all). Where a value meets two, windows whose
-    slots hold the same values as the item's, or that have no slots, still count, and of the others those that don't
-    hold that value, if with the former they make so many in sequence.
+    else is folded to lower case without punctuation; windows with names also stand with the names as words. Windows of
+    ``width`` template tokens with ``literals`` words outside slots are joined by hash. The matched windows of a document
+    and item on one diagonal count if their slots agree: each value of the item always meets the same value in the
+    document, as in a question with other numbers. A document is contaminated by an item when the windows that count are
+    as many as ``run`` words in sequence have, or make up ``share`` of the item's windows if that is less (two at least,
+    or all). Where a value meets two, windows whose slots hold the same values as the item's, or that have no slots,
+    still count, and of the others those that don't hold that value, if with the former they make so many in sequence.
+
+    An item without a template window, as it is short or has hardly a word beside numbers, units and names, is looked
+    for by its words as they are, numbers included: in windows of ``width`` words, or as one window if it has fewer. A
+    benchmark item of one common word is thus found wherever that word stands. Items of only symbols match nothing.
 
     The item windows, once counted, go to the tasks as a table of hashes up to ``limit`` and drop other windows at
-    the source; beyond that every window goes through the same join by shuffle. Null texts count as empty, texts
-    and items of under ``width`` tokens have no window and never match, items given twice match under both ids,
-    repeated rows share a result, empty tables give an empty one."""
-    items = benchmark.select(F.col("item_id").alias("id"), row_hash("text").alias("h"), text_or_empty("text").alias("t"))
-    items = materialize(template_windows(items, None, width, literals).select(F.col("id").alias("item_id"), F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots")), "item-windows")
+    the source; beyond that every window goes through the same join by shuffle. A window that very many items share
+    makes no pairs by itself where its item has rarer ones. Null texts count as empty and match nothing, items given
+    twice match under both ids, repeated rows share a result, empty tables give an empty one, texts are read whole, and
+    no other columns of either table are read."""
+    texts = benchmark.select(F.col("item_id"), row_hash("text").alias("item"), text_or_empty("text").alias("t"))
+    items = texts.groupBy(F.col("item").alias("id")).agg(F.first("t").alias("t")).select("id", F.col("id").alias("h"), "t")
+    items = _windows_of(items, _item_windows(width, literals)).select(F.col("id").alias("item"), F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"), "words")
+    items = materialize(items, "item-windows")
+    sizes = items.groupBy("item").agg(F.count_distinct("item_place").alias("item_windows"))
+    sizes = sizes.withColumn("need", F.least(F.lit(run - width + 1), F.greatest(F.ceil(F.col("item_windows") * share), F.least(F.lit(2), F.col("item_windows")))))
+    sizes = materialize(sizes, "item-sizes")
+    widths = sorted(r["words"] for r in items.select("words").filter("words > 0").distinct().collect())  # at most ``width`` numbers
     keys = items.select("window").distinct()
-    rows = docs.select(F.col(id_column).alias("id"), row_hash(text_column).alias("h"), text_or_empty(text_column).alias("t"))
-    wanted = None
+    hashes = None
     if keys.limit(limit + 1).count() <= limit:
-        wanted = docs.sparkSession.sparkContext.broadcast(Wanted(keys.toPandas()["window"].to_numpy(dtype=np.int64).view(np.uint64)))
-    found = materialize(template_windows(rows, wanted, width, literals), "windows")
-    pairs = found.join(items, "window").withColumn("diagonal", F.col("place") - F.col("item_place"))
-    return _judged(pairs, items, width, run, share)
-
-
-def _judged(pairs: DataFrame, items: DataFrame, width: int, run: int, share: float) -> DataFrame:
+        hashes = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toPandas()["window"].to_numpy(dtype=np.int64).view(np.uint64)))
+    rows = docs.select(F.col(id_column).alias("id"), row_hash(text_column).alias("h"), text_or_empty(text_column).alias("t"))
+    found = materialize(_windows_of(rows, _text_windows(width, literals, widths, hashes)), "windows")
+
+    led = materialize(_leading(items, sizes), "leading-windows")
+    met = lambda texts_, side: texts_.join(side, (F.col("window") == F.col("i_window")) & (F.col("words") == F.col("i_words"))).drop("i_window", "i_words")
+    side = lambda keep: led.filter(keep).select("item", "item_place", F.col("window").alias("i_window"), "item_slots", F.col("words").alias("i_words"))
+    pairs = met(found, side("leads")).withColumn("diagonal", F.col("place") - F.col("item_place"))
+    if not led.filter("not leads").isEmpty():
+        known = materialize(pairs.select(F.col("id").alias("k_id"), F.col("h").alias("k_h"), F.col("item").alias("k_item")).distinct(), "led-pairs")
+        waiting = found.join(led.filter("not leads").select("window").distinct(), "window", "left_semi")
+        waiting = waiting.join(known, F.col("id").eqNullSafe(F.col("k_id")) & (F.col("h") == F.col("k_h")))
+        more = met(waiting, side("not leads")).filter("item = k_item").drop("k_id", "k_h", "k_item").withColumn("diagonal", F.col("place") - F.col("item_place"))
+        pairs = materialize(pairs.unionByName(more), "pairs")
+    judged = _judged(pairs, sizes)
+    names = texts.select("item", "item_id").distinct()
+    return judged.join(names, "item").select("id", "h", "item_id", "windows", "item_windows")
+
+
+def _judged(pairs: DataFrame, sizes: DataFrame) -> DataFrame:
     """Windows that count, by document and item; all by aggregates with map-side combining but for the stretches of
     diagonals with a clash, which are no longer than an item."""
-    line = ["id", "h", "item_id", "diagonal"]
+    line = ["id", "h", "item", "diagonal"]
     slots = pairs.filter(F.size("slots") > 0).select(*line, F.explode(F.arrays_zip("item_slots", "slots")).alias("s")).select(*line, F.col("s.item_slots").alias("mine"), F.col("s.slots").alias("theirs"))
     clash = slots.groupBy(*line, "mine").agg((F.min("theirs") != F.max("theirs")).alias("clash")).filter("clash").groupBy(*line).agg(F.collect_set("mine").alias("clashing"))
-    clash = clash.select(F.col("id").alias("c_id"), F.col("h").alias("c_h"), F.col("item_id").alias("c_item"), F.col("diagonal").alias("c_diagonal"), "clashing")
-    on = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")) & F.col("item_id").eqNullSafe(F.col("c_item")) & (F.col("diagonal") == F.col("c_diagonal"))
-    sizes = items.groupBy(F.col("item_id").alias("s_item")).agg(F.count_distinct("item_place").alias("item_windows"))
-    sizes = sizes.withColumn("need", F.least(F.lit(run - width + 1), F.greatest(F.ceil(F.col("item_windows") * share), F.least(F.lit(2), F.col("item_windows")))))
-    sized = F.col("item_id").eqNullSafe(F.col("s_item"))
+    clash = clash.select(F.col("id").alias("c_id"), F.col("h").alias("c_h"), F.col("item").alias("c_item"), F.col("diagonal").alias("c_diagonal"), "clashing")
+    on = F.col("id").eqNullSafe(F.col("c_id")) & (F.col("h") == F.col("c_h")) & (F.col("item") == F.col("c_item")) & (F.col("diagonal") == F.col("c_diagonal"))
     judged = pairs.join(clash, on, "left").withColumn("sure", F.col("clashing").isNull() | (F.col("item_slots") == F.col("slots")))
-    sure = judged.filter("sure").select("id", "h", "item_id", "item_place")
+    sure = judged.filter("sure").select("id", "h", "item", "item_place")
     left = judged.filter(F.col("clashing").isNotNull() & (F.col("sure") | ~F.arrays_overlap("item_slots", "clashing"))).select(*line, "item_place").distinct()
     in_line = Window.partitionBy(*line)
     left = left.withColumn("stretch", F.col("item_place") - F.row_number().over(in_line.orderBy("item_place"))).withColumn("long", F.count(F.lit(1)).over(Window.partitionBy(*line, "stretch")))
-    left = left.join(sizes, sized).filter(F.col("long") >= F.col("need")).select("id", "h", "item_id", "item_place")
-    agreed = sure.unionByName(left).groupBy("id", "h", "item_id", "item_place").agg(F.lit(1).alias("one"))
-    counted = agreed.groupBy("id", "h", "item_id").agg(F.count(F.lit(1)).alias("windows"))
-    return counted.join(sizes, sized).filter(F.col("windows") >= F.col("need")).select("id", "h", "item_id", "windows", "item_windows")
+    left = left.join(sizes, "item").filter(F.col("long") >= F.col("need")).select("id", "h", "item", "item_place")
+    agreed = sure.unionByName(left).groupBy("id", "h", "item", "item_place").agg(F.lit(1).alias("one"))
+    counted = agreed.groupBy("id", "h", "item").agg(F.count(F.lit(1)).alias("windows"))
+    return counted.join(sizes, "item").filter(F.col("windows") >= F.col("need")).select("id", "h", "item", "windows", "item_windows")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """``docs`` without contaminated rows, all columns kept."""
+    """``docs`` without contaminated rows, all columns kept whatever their names; what is contaminated is as above, so
+    rows with a null or empty text stay."""
     doomed = materialize(contaminated(docs, benchmark, **options).select("id", "h").distinct(), "contaminated")
     return drop_rows(docs, doomed, options.get("id_column", "doc_id"), options.get("text_column", "text"))

@@ -1,3 +1,8 @@
+import os
+import random
+import subprocess
+import sys
+
 from riskloom.llm import decontam
 
 QUESTION = "If Alice buys 12 apples at 3 dollars each and Bob sells 5 pears at 3 dollars, how much money does Alice have left over in the end?"
@@ -14,7 +19,7 @@ def found(table, bench, **options):
 
 
 def test_parameters_change_but_slots_agree(spark, docs):
-    bench = items(spark, [(1, QUESTION), (2, OTHER), (3, None), (4, "too short to match")])
+    bench = items(spark, [(1, QUESTION), (2, OTHER), (3, None), (4, "too short to match it")])
     table = docs([
         (1, "Intro text here. " + TWIN.format(7, 7) + " More."), (2, "Intro. " + TWIN.format(7, 8)), (3, OTHER.upper()), (4, None), (5, ""), (6, "too short to match"),
         (None, "x " * 50_000 + OTHER), (8, "nothing of the kind, the end of the line for all of us who write"), (9, " ".join(OTHER.split()[4:17])), (10, " ".join(OTHER.split()[4:14])),
@@ -42,10 +47,9 @@ def test_empty_tables(spark, docs):
 
 def test_units_and_joined_numbers():
     words = decontam.Canonical()
-    _, a, kinds, *_ = words.tokens("It weighs 5kg or 12 lbs, says Ann.")
-    _, b, *_ = words.tokens("it weighs 77 g or 3 oz says Bob")
-    assert list(a) == list(b)
-    assert list(kinds) == [0, 0, 1, 2, 0, 1, 2, 0, 3]
+    a, b = words.tokens("It weighs 5kg or 12 lbs, says Ann."), words.tokens("it weighs 77 g or 3 oz says Bob")
+    assert list(a.hashes) == list(b.hashes)
+    assert list(a.kinds) == [0, 0, 1, 2, 0, 1, 2, 0, 3]
 
 
 def test_a_clash_leaves_out_only_its_windows(spark, docs):
@@ -55,3 +59,50 @@ def test_a_clash_leaves_out_only_its_windows(spark, docs):
     thin = " ".join(w if i % 11 else "zzz" for i, w in enumerate(changed.split()))  # a word in eleven changed as well
     table = docs([(1, item), (2, "Intro. " + changed), (3, other), (4, thin), (5, TWIN.format(7, 8)), (6, "no such text in here at all, only a few words of our own")])
     assert found(table, items(spark, [(1, item), (2, QUESTION)])) == {(1, 1), (2, 1), (3, 1), (4, 1)}
+
+
+def test_items_of_any_length_are_found_word_for_word(spark, docs):
+    """Planted copies of items of 1 to 60 words, some of numbers only; nothing else is found. Recall is 1."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    texts = {n: " ".join(word() for _ in range(n)) for n in range(1, 61)}
+    texts |= {100: "What is 12 + 5 * 3 - 7?", 101: " ".join(str(rng.randrange(10_000)) for _ in range(40)), 102: "Who wrote Hamlet?", 103: "+ - *", 104: ""}
+    filler = lambda n: " ".join(f"zz{rng.randrange(500)}" for _ in range(n))
+    table = docs([(i, f"{filler(30)} {t} {filler(30)}") for i, t in texts.items()] + [(500 + i, filler(80)) for i in range(40)] + [(900, filler(5) + " What is 12 + 5 * 3 - 8? Who wrote Othello?")])
+    bench = items(spark, list(texts.items()))
+    want = {(i, i) for i in texts if i not in (103, 104)}
+    assert found(table, bench) == want
+    assert found(table, bench, limit=0) == want
+
+
+def test_a_phrase_that_many_items_share(spark, docs, monkeypatch):
+    """Windows of a crowd make no pairs by themselves, and every item is still found."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("bcdfgklmnprst") + rng.choice("aeiou") for _ in range(3))
+    phrase = " ".join(word() for _ in range(11))
+    texts = {i: f"{phrase} {' '.join(word() for _ in range(rng.randrange(2, 30)))}" for i in range(60)}
+    table = docs([(i, f"see {t} there") for i, t in texts.items()] + [(100 + i, f"{phrase} and then something else altogether") for i in range(30)])
+    bench = items(spark, list(texts.items()))
+    want = found(table, bench)
+    assert {(i, i) for i in texts} <= want
+    monkeypatch.setattr(decontam, "CROWD", 3)
+    assert found(table, bench) == want
+
+
+LONE_WORKERS = """
+import sys
+sys.path.insert(0, {root!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local-cluster[1,1,1024]").config("spark.checkpoint.dir", {shared!r}).config("spark.sql.shuffle.partitions", "2").config("spark.executorEnv.PYTHONPATH", "").config("spark.ui.enabled", "false").getOrCreate()
+from riskloom.llm import decontam
+docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], "doc_id long, text string")
+bench = spark.createDataFrame([(7, "two three four five six seven eight nine ten")], "item_id long, text string")
+print("FOUND", [tuple(r) for r in decontam.contaminated(docs, bench).select("id", "item_id").collect()])
+"""
+
+
+def test_workers_need_not_have_the_library(tmp_path):
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", LONE_WORKERS.format(root=root, shared=str(tmp_path))], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "FOUND [(1, 7)]" in done.stdout, done.stderr[-2000:]
