@@ -3,9 +3,11 @@
 All suffixes of a corpus can't be sorted in one place, so they are dealt out first: each string of ``LENGTH`` bytes is
 filed under its anchor, the least of its hashed ``ANCHOR``-byte substrings, which depends on the string alone. Equal
 strings therefore meet under one anchor, at one distance from it. A run of starts that share an anchor and place is a
-segment; its bytes, from the first start to the end of the last string, are its context. Contexts that occur twice are
-repeated as a whole. Where one anchor has several contexts, their suffixes are sorted from the anchor in both
-directions, by a mergesort that compares prefix polynomial hashes, and common extensions tell which starts repeat.
+segment; its bytes, from the first start to the end of the last string, are its context. Contexts are grouped by their
+bytes, and those that occur twice are repeated as a whole. Where one anchor has several different contexts, their
+suffixes are sorted from the anchor in both directions, by a mergesort that compares prefix polynomial hashes, and common
+extensions, checked byte by byte, tell which starts repeat. Digests deal rows and speed comparisons; no byte is removed
+whose string was not compared with an equal one.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import in_arrow, materialize, row_hash, small_join, text_or_empty
+from .common import discard, in_arrow, materialize, row_hash, small_join, text_or_empty
 
 LENGTH, ANCHOR = 200, 50
 BLOCK = 1 << 18  # starts that are hashed at a time, whatever the length of the text
@@ -217,9 +219,9 @@ def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _cut(batches):
-    """Rows (id, h, text, wanted) to one row a context, with its bytes."""
+    """Rows (id, h, text, wanted) to one row a segment, with its context."""
     for batch in batches:
-        take, pos, ah, ch, n, m, out = [], [], [], [], [], [], []
+        take, pos, ah, ch, out = [], [], [], [], []
         for row, (text, wanted) in enumerate(zip(batch.column(2).cast(pa.binary()), batch.column(3).to_pylist(), strict=True)):
             data = text.as_buffer().to_pybytes()
             for w in wanted:
@@ -228,13 +230,11 @@ def _cut(batches):
                 pos.append(w["pos"])
                 ah.append(w["ah"])
                 ch.append(w["ch"])
-                n.append(w["n"])
-                m.append(w["m"])
                 out.append(data[first : first + more + LENGTH])
         rows = pa.array(take, pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos, pa.int64()), pa.array(ah, pa.int64()), pa.array(ch, pa.int64()), pa.array(n, pa.int64()), pa.array(m, pa.int64()), pa.array(out, pa.binary())],
-            names=["id", "h", "pos", "ah", "ch", "n", "m", "context"])
+            [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos, pa.int64()), pa.array(ah, pa.int64()), pa.array(ch, pa.int64()), pa.array(out, pa.binary())],
+            names=["id", "h", "pos", "ah", "ch", "context"])
 
 
 def _whole_groups(batches, keys: list[str]):
@@ -279,11 +279,20 @@ def _sorted_groups(batches):
         yield from made.combine_chunks().to_batches()
 
 
+def _digests(sums_of, at: np.ndarray) -> list[np.ndarray]:
+    """Two hashes of the strings that start at ``at``; they bring equal strings together and prove nothing."""
+    found = []
+    for base in BASES[1:3]:
+        sums = sums_of(base)
+        found.append(mixed((sums[at + LENGTH] - sums[at]) * powers(base, len(sums)).down[at]).view(np.int64))
+    return found
+
+
 def _open_strings(batches):
     """For salted groups: one representative of each different string, packed by anchor and bucket of its hash.
     A string that repeats within the salt, or whose context does, is settled and goes along only to meet others."""
     for table in _whole_groups(batches, ["ah", "salt"]):
-        first, flags, classes = _measured(table, ["ah", "salt"])
+        _, flags, classes = _measured(table, ["ah", "salt"])
         texts = [c.as_py() for c in table.column("context")]
         settled = flags | (table.column("n").to_numpy() > 1)[:, None]
         row, start = np.nonzero(classes >= 0)
@@ -291,10 +300,7 @@ def _open_strings(batches):
         row, start = row[one], start[one]
         data = np.frombuffer(b"".join(texts), np.uint8)
         at = np.concatenate([[0], np.cumsum([len(t) for t in texts])])[row] + start
-        digests = []
-        for base in BASES[1:3]:
-            sums = prefix_sums(data, base)
-            digests.append(mixed((sums[at + LENGTH] - sums[at]) * powers(base, len(sums)).down[at]).view(np.int64))
+        digests = _digests(lambda base: prefix_sums(data, base), at)  # noqa: B023
         m, ah = table.column("m").to_numpy()[row], table.column("ah").to_numpy()[row]
         buckets = -(-m * (LENGTH - ANCHOR + 1) // BUCKET)
         bucket = (digests[0].view(np.uint64) % buckets.astype(np.uint64)).astype(np.int64)
@@ -303,56 +309,118 @@ def _open_strings(batches):
         lists = lambda values, kind: pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(values[order], kind))  # noqa: E731, B023
         ids = pa.ListArray.from_arrays(pa.array(edges, pa.int32()), table.column("id").combine_chunks().take(pa.array(row[order])))
         heads = order[edges[:-1]]
+        place = table.column("pos").to_numpy()[row] << 8 | start
         yield pa.RecordBatch.from_arrays(
             [pa.array(ah[heads]), pa.array(bucket[heads]), lists(digests[0], pa.int64()), lists(digests[1], pa.int64()), ids, lists(table.column("h").to_numpy()[row], pa.int64()),
-             lists(first[row] + start, pa.int64()), lists(~settled[row, start], pa.bool_())], names=["ah", "bucket", "d1", "d2", "ids", "hs", "starts", "open"])
+             lists(place, pa.int64()), lists(~settled[row, start], pa.bool_())], names=["ah", "bucket", "d1", "d2", "ids", "hs", "places", "open"])
 
 
 def _met(batches):
-    """Spans of the open strings that also occur under another salt: one row a document and bucket."""
+    """Strings that seem to occur under another salt, beside one representative of their hashes: the first by text hash
+    and place, so that neighbouring strings of a passage have representatives in one context."""
     for table in _whole_groups(batches, ["ah", "bucket"]):
         count = pa.compute.list_value_length(table.column("d1")).to_numpy()
         flat = lambda k: table.column(k).combine_chunks().flatten()  # noqa: E731, B023
         group = np.repeat(_numbered(table, ["ah", "bucket"]), count)
-        _, number, seen = np.unique(np.stack([group, flat("d1").to_numpy(), flat("d2").to_numpy()]), axis=1, return_inverse=True, return_counts=True)
-        hit = np.flatnonzero((seen[number.ravel()] > 1) & flat("open").to_numpy(zero_copy_only=False))
-        rows = pa.array(hit, pa.int64())
-        starts = flat("starts").to_numpy()[hit]
-        made = pa.table([flat("ids").take(rows), flat("hs").take(rows), pa.array(starts), pa.array(starts + LENGTH)], names=["id", "h", "a", "b"])
+        _, number = np.unique(np.stack([group, flat("d1").to_numpy(), flat("d2").to_numpy()]), axis=1, return_inverse=True)
+        number, hs, places, open_ = number.ravel(), flat("hs").to_numpy(), flat("places").to_numpy(), flat("open").to_numpy(zero_copy_only=False)
+        order = np.lexsort((places, hs, number))
+        first = np.concatenate([[True], np.diff(number[order]) != 0]) if len(order) else np.zeros(0, bool)
+        head = order[np.maximum.accumulate(np.where(first, np.arange(len(order)), 0))]
+        hit = np.flatnonzero(~first & (open_[order] | open_[head]))
+        mine, other = pa.array(order[hit], pa.int64()), pa.array(head[hit], pa.int64())
+        ids = flat("ids")
+        made = pa.table([ids.take(mine), pa.array(hs[order[hit]]), pa.array(places[order[hit]] >> 8), ids.take(other), pa.array(hs[head[hit]]), pa.array(places[head[hit]] >> 8),
+                         pa.array(places[order[hit]] & 255), pa.array(places[head[hit]] & 255)], names=["id", "h", "pos", "o_id", "o_h", "o_pos", "at", "o_at"])
         yield from made.combine_chunks().to_batches()
 
 
+def _compared(batches):
+    """Rows of two contexts and the starts at which their strings seem equal, to spans of those that are, and, with its
+    bytes, to each string that is not."""
+    for batch in batches:
+        take, other_side, a, b, strings = [], [], [], [], []
+        for row, r in enumerate(batch.select(["pos", "o_pos", "ats", "shift", "context", "o_context"]).to_pylist()):
+            sides = ((False, r["pos"] >> 16, 0, r["context"]), (True, r["o_pos"] >> 16, r["shift"], r["o_context"]))
+            string = lambda side, at: side[3][at + side[2] : at + side[2] + LENGTH]
+            equal = [at for at in r["ats"] if string(sides[0], at) == string(sides[1], at)]
+            spans = [(x, y, None) for x, y in merged([(at, at + 1) for at in equal])]
+            spans += [(at, at + 1, at) for at in r["ats"] if at not in equal]
+            for side in sides:
+                for x, y, at in spans:
+                    take.append(row)
+                    other_side.append(side[0])
+                    a.append(side[1] + side[2] + x)
+                    b.append(side[1] + side[2] + y - 1 + LENGTH)
+                    strings.append(None if at is None else string(side, at))
+        rows, theirs = pa.array(take, pa.int64()), pa.array(other_side, pa.bool_())
+        pick = lambda mine, other: pa.compute.if_else(theirs, batch.column(other).take(rows), batch.column(mine).take(rows))  # noqa: E731, B023
+        yield pa.RecordBatch.from_arrays([pick("id", "o_id"), pick("h", "o_h"), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(strings, pa.binary())], names=["id", "h", "a", "b", "string"])
+
+
+def _place(prefix: str = "") -> list[str]:
+    return [f"{prefix}id", f"{prefix}h", f"{prefix}pos"]
+
+
+def _across(hot: DataFrame, kind: str) -> DataFrame:
+    """Spans (id, h, a, b) of strings that crowded anchors have under different salts. ``hot``: their contexts."""
+    dealt = hot.repartition("ah", "salt").sortWithinPartitions("ah", "salt", "ch")
+    packed = dealt.transform(in_arrow, _open_strings, f"ah long, bucket long, d1 array<long>, d2 array<long>, ids array<{kind}>, hs array<long>, places array<long>, open array<boolean>")
+    met = packed.repartition("ah", "bucket").sortWithinPartitions("ah", "bucket").transform(in_arrow, _met, f"id {kind}, h long, pos long, o_id {kind}, o_h long, o_pos long, at long, o_at long")
+    # neighbouring strings of two contexts are compared together
+    pairs = met.groupBy(*_place(), *_place("o_"), (F.col("o_at") - F.col("at")).alias("shift")).agg(F.array_sort(F.collect_set("at")).alias("ats"))
+    pairs = materialize(pairs, "met")
+    texts = hot.select("id", "h", "pos", "context")
+    for prefix in ("", "o_"):
+        side = texts.select(*[F.col(c).alias(f"t_{c}") for c in texts.columns])
+        on = F.col(f"{prefix}id").eqNullSafe(F.col("t_id")) & (F.col(f"{prefix}h") == F.col("t_h")) & (F.col(f"{prefix}pos") == F.col("t_pos"))
+        pairs = pairs.join(side, on).drop("t_id", "t_h", "t_pos").withColumnRenamed("t_context", f"{prefix}context")
+    checked = materialize(pairs.transform(in_arrow, _compared, f"id {kind}, h long, a long, b long, string binary"), "compared")
+    spans = checked.filter("string is null").select("id", "h", "a", "b").distinct()
+    # strings whose hashes collided: grouped by their bytes
+    odd = checked.filter("string is not null").distinct()
+    if odd.isEmpty():
+        return spans
+    twice = odd.groupBy("string").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("string")
+    return spans.unionByName(odd.join(twice, "string", "left_semi").select("id", "h", "a", "b"))
+
+
 def repeated_spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row (id, h, spans) per row key of ``docs`` with a repeated string; spans may overlap."""
     rows = docs.select(F.col(id_column).alias("id"), row_hash(text_column).alias("h"), text_or_empty(text_column).alias("t"))
     kind = rows.schema["id"].dataType.simpleString()
     segs = materialize(rows.transform(in_arrow, _segment_rows, f"id {kind}, h long, pos long, ah long, ch long"), "segments")
-    shared = segs.groupBy("ah").agg(F.count(F.lit(1)).alias("n"), (F.min("ch") != F.max("ch")).alias("mixed")).filter("n > 1").drop("n")
-    hits = materialize(segs.join(materialize(shared, "anchors"), "ah"), "hits")
+    shared = materialize(segs.groupBy("ah").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("ah"), "anchors")
+    hits = materialize(segs.join(shared, "ah"), "hits")
+    discard(segs, shared)
 
-    contexts = hits.filter("mixed").groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "h", "id")).alias("one"))
-    contexts = materialize(contexts, "contexts")
-    span = [(F.shiftright("pos", 16)).alias("a"), (F.shiftright("pos", 16) + F.col("pos").bitwiseAND(F.lit(255)) + LENGTH).alias("b")]
-    whole = hits.filter("not mixed").select("id", "h", *span)
-    copied = materialize(contexts.filter("n > 1").select("ah", "ch"), "copied-contexts")
-    again = small_join(hits.filter("mixed"), copied, ["ah", "ch"]).select("id", "h", *span)
-
-    # only anchors with many contexts need their number, so that the join has a small side
-    hot_sizes = materialize(contexts.groupBy("ah").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") > HOT), "hot-anchors")
-    wanted = small_join(contexts, hot_sizes, ["ah"], "left").withColumn("m", F.coalesce("m", F.lit(0))).select(F.col("one.id").alias("w_id"), F.col("one.h").alias("w_h"), F.struct(F.col("one.pos").alias("pos"), "ah", "ch", "n", "m").alias("w"))
-    wanted = wanted.groupBy("w_id", "w_h").agg(F.collect_list("w").alias("wanted"))
+    # a segment's context is cut from its text, and equal contexts meet: by their bytes, combined in the tasks first
+    wanted = hits.groupBy(F.col("id").alias("w_id"), F.col("h").alias("w_h")).agg(F.collect_set(F.struct("pos", "ah", "ch")).alias("wanted"))
     with_text = rows.join(wanted, F.col("id").eqNullSafe(F.col("w_id")) & (F.col("h") == F.col("w_h"))).select("id", "h", "t", "wanted")
-    cut = materialize(with_text.transform(in_arrow, _cut, f"id {kind}, h long, pos long, ah long, ch long, n long, m long, context binary"), "cut")
-    cut = cut.withColumn("salt", F.when(F.col("m") > HOT, F.pmod(F.col("ch"), F.ceil(F.col("m") / HOT))).otherwise(F.lit(0)).cast("long"))
+    pieces = with_text.transform(in_arrow, _cut, f"id {kind}, h long, pos long, ah long, ch long, context binary")
+    contexts = pieces.groupBy("ah", "ch", "context").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("pos", "h", "id")).alias("one"))
+    contexts = materialize(contexts.select("ah", "ch", "context", "n", "one.pos", "one.h", "one.id"), "contexts")
 
-    dealt = cut.repartition("ah", "salt").sortWithinPartitions("ah", "salt", "ch")
-    spans = f"id {kind}, h long, a long, b long"
-    partly = dealt.transform(in_arrow, _sorted_groups, spans)
-    hot = cut.filter(F.col("m") > HOT).repartition("ah", "salt").sortWithinPartitions("ah", "salt", "ch")
-    packed = hot.transform(in_arrow, _open_strings, f"ah long, bucket long, d1 array<long>, d2 array<long>, ids array<{kind}>, hs array<long>, starts array<long>, open array<boolean>")
-    across = packed.repartition("ah", "bucket").sortWithinPartitions("ah", "bucket").transform(in_arrow, _met, spans)
-    found = whole.unionByName(again).unionByName(partly).unionByName(across)
-    return materialize(found.groupBy("id", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "spans")
+    span = [(F.shiftright("pos", 16)).alias("a"), (F.shiftright("pos", 16) + F.col("pos").bitwiseAND(F.lit(255)) + LENGTH).alias("b")]
+    digests = materialize(contexts.groupBy("ah", "ch").agg(F.count(F.lit(1)).alias("kinds"), F.max("n").alias("n")), "digests")
+    copied = materialize(digests.filter("kinds = 1 and n > 1").select("ah", "ch"), "copied-contexts")
+    found = small_join(hits, copied, ["ah", "ch"]).select("id", "h", *span)
+    collided = digests.filter("kinds > 1").select("ah", "ch")
+    if not collided.isEmpty():
+        # contexts whose digests agree and whose bytes don't: their segments are told apart by bytes
+        twice = contexts.filter("n > 1").join(collided, ["ah", "ch"], "left_semi").select("ah", "ch", "context")
+        found = found.unionByName(pieces.join(twice, ["ah", "ch", "context"], "left_semi").select("id", "h", *span))
+
+    # different contexts of one anchor; an anchor with very many is salted
+    anchors = materialize(digests.groupBy("ah").agg(F.sum("kinds").alias("m")).filter("m > 1"), "mixed-anchors")
+    sorted_ = small_join(contexts, anchors, ["ah"]).withColumn("salt", F.when(F.col("m") > HOT, F.pmod(F.col("ch"), F.ceil(F.col("m") / HOT))).otherwise(F.lit(0)).cast("long"))
+    dealt = sorted_.repartition("ah", "salt").sortWithinPartitions("ah", "salt", "ch")
+    found = found.unionByName(dealt.transform(in_arrow, _sorted_groups, f"id {kind}, h long, a long, b long"))
+    if not anchors.filter(F.col("m") > HOT).isEmpty():
+        found = found.unionByName(_across(materialize(sorted_.filter(F.col("m") > HOT), "hot-contexts"), kind))
+    spans = materialize(found.groupBy("id", "h").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans")
+    discard(hits, contexts, digests, copied, anchors)
+    return spans
 
 
 def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -372,7 +440,8 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     A byte goes if a string of 200 bytes that covers it starts anywhere else too, in the same text or another; all
     occurrences go. Strings never cross texts and are judged on the input. A null text counts as empty; texts of
     under 200 bytes lose nothing; rows that repeat id and text are occurrences of their own, so all of a
-    repeated text of 200 bytes or more goes. Cuts may fall within a character, so ``kept`` is binary."""
+    repeated text of 200 bytes or more goes. Cuts may fall within a character, so ``kept`` is binary. Texts are read
+    whole, in blocks; an empty table gives an empty one; other columns are not read, whatever their names."""
     spans = repeated_spans(docs, id_column, text_column).withColumnsRenamed({"id": "s_id", "h": "s_h"})
     rows = docs.select(F.col(id_column).alias("id"), row_hash(text_column).alias("h"), text_or_empty(text_column).alias("t"))
     joined = rows.join(spans, F.col("id").eqNullSafe(F.col("s_id")) & (F.col("h") == F.col("s_h")), "left").select("id", "t", "spans")

@@ -45,6 +45,25 @@ def test_hot_anchors_small_chunks_and_blocks_change_nothing(docs, monkeypatch):
     assert run(docs(rows)) == sorted(slow([(t or "").encode() for _, t in rows]))
 
 
+def test_colliding_digests_remove_nothing_that_is_not_repeated(docs, monkeypatch):
+    """Context digests of one bit and string hashes that all agree: only bytes decide."""
+    rows = corpus()
+    want = sorted(slow([(t or "").encode() for _, t in rows]))
+    block, digests = suffix._block, suffix._digests
+
+    def blind_block(data, at):
+        pos, anchors, found = block(data, at)
+        return pos, anchors, found & 1
+
+    monkeypatch.setattr(suffix, "_block", blind_block)
+    assert run(docs(rows)) == want
+    monkeypatch.setattr(suffix, "HOT", 4)
+    monkeypatch.setattr(suffix, "CHUNK", 50)
+    assert run(docs(rows)) == want
+    monkeypatch.setattr(suffix, "_digests", lambda sums_of, at: [d & 3 for d in digests(sums_of, at)])
+    assert run(docs(rows)) == want
+
+
 def test_kept_bytes_and_empty_table(docs):
     out = suffix.without_repeats(docs([(1, "keep " + "r" * 300), (2, "r" * 300 + " this")])).collect()
     assert sorted(bytes(r.kept) for r in out) == [b" this", b"keep "]
