@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import WORDS, fresh, materialize, text_or_empty
+from .common import WORDS, aside, discard, fresh, materialize, text_or_empty
 
-NOISE = "#$%&*!|<>{}~^="
+NOISE = "[#$%&*!|<>{}~^=]"
 LEVELS, BINS = 2, 4096
 
 
@@ -18,7 +18,7 @@ def word_count(text: Column) -> Column:
 
 def quality_weight(text: Column) -> Column:
     """Between 0.1 and 1: falls with the share of symbols that running prose does not have."""
-    noise = F.length(text) - F.length(F.translate(text, NOISE, ""))
+    noise = F.regexp_count(text, F.lit(NOISE))
     return F.greatest(F.lit(0.1), 1.0 / (1.0 + 20.0 * noise / F.greatest(F.length(text), F.lit(1))))
 
 
@@ -54,10 +54,10 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     prefix-summed, the bin at the boundary is split into 4,096 finer bins, and only rows of the one fine bin at
     the boundary are sorted. Reruns agree, as nothing depends on partitioning. A null text has size 0 and
     takes 0; a null source is a source of its own, last; rows equal in id and text share their place and the words
-    left for it, floor by floor. Sources without a word have target 0. Clashing column names of ``docs`` are kept
-    only if they are not among the four added, which replace them."""
+    left for it, floor by floor. Sources without a word have target 0. Texts are read whole, an empty table gives an
+    empty one, and columns of ``docs`` that are named like the four added stay as ``<name>_input``."""
     added = ["size", "source_size", "target", "taken"]
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in added])
+    docs = aside(docs, added)
     key, src = fresh(docs.columns, "__key"), fresh(docs.columns, "__src")
     text = text_or_empty(text_column)
     unit = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_column), text), 11) + 1) / float(1 << 53)
@@ -74,9 +74,11 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     edge = plan.select(F.col("source").alias("p_source"), F.col("left"), F.lit(0).cast("long").alias("lo"))
+    superseded = []
     for level in range(1, LEVELS + 1):
         width = BINS ** (LEVELS - level)
         edge = materialize(edge, "mix-edge")
+        superseded.append(edge)
         part = rows
         if level > 1:
             e = edge.select(F.col("p_source").alias("e_source"), F.col("lo").alias("e_lo"))
@@ -100,6 +102,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 
     whole = plan.select(F.col("source").alias("t_source"), "source_size", "target", "epochs")
     whole = materialize(whole.join(edge.select("p_source", "lo"), same("t_source", "p_source")).drop("p_source"), "mix-plan")
+    discard(rows, plan, edge, *superseded)
     out = sized.withColumn(src, F.col(source_column))
     out = _by_source(out, whole, F.col(src).eqNullSafe(F.col("t_source")))
     on = F.col(src).eqNullSafe(F.col("b_source")) & (F.col(f"{key}.late") == F.col("b_late")) & (F.col(f"{key}.tie") == F.col("b_tie"))

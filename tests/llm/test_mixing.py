@@ -66,7 +66,8 @@ def test_columns_nulls_repeats_and_empty_tables(docs):
     rows = [(1, "a b c", None), (1, "a b c", None), (None, "d e", None), (2, None, None), (3, "\t \n", "q"), (4, "k " * 100_000, "long")]
     table = docs(rows)
     out = mixing.mix(table)
-    assert out.columns == [c for c in table.columns if c not in ("taken", "size")] + ["size", "source_size", "target", "taken"]
+    assert out.columns == [f"{c}_input" if c in ("taken", "size") else c for c in table.columns] + ["size", "source_size", "target", "taken"]
+    assert {r.size_input for r in out.collect()} == {"x1", "x2", "x3", "x4", None}
     assert len(out.collect()) == len(rows)
     assert mixing.mix(docs([])).count() == 0
     assert [r.taken for r in mixing.mix(docs([(1, None, "s")])).collect()] == [0]
