@@ -49,10 +49,11 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labels reach a page through the document id that ends its path: bad quality or toxic text asks for a block."""
+    """Labels reach a page through the document id that ends its path: bad quality or toxic text asks for a block. Those
+    of the held-out fold are not learned from."""
     pages, labels = _table(spark, sf_dir, "pages").select("page_id", "url"), _table(spark, sf_dir, "labels")
     number = F.try_to_number(F.nullif(F.regexp_extract("url", r"/([0-9]{1,18})(?:\.html)?/?(?:[?#].*)?$", 1), F.lit("")), F.lit("999999999999999999")).cast("long")
-    labelled = pages.withColumn("doc_id", number).join(labels, "doc_id").select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
+    labelled = pages.withColumn("doc_id", number).join(labels, "doc_id").filter(~held_out(F.col("doc_id"))).select("url", ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("block"))
     return urls.judge(pages, URL_RULES, urls.mine(labelled)).withColumnRenamed("id", "page_id")
 
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import BROADCAST_ROWS, discard, materialize, small_join
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 PARTS = r"(?s)^.*?://([^/?#]*)([^?#]*)"
-LABEL = "=block"
 
 
 def host(url: Column) -> Column:
@@ -39,68 +40,89 @@ def stated(rules: list[tuple[str, str, str]], hosts: Column, paths: Column) -> t
     return rule, verdict
 
 
-def mine(labelled: DataFrame, support: float = 0.002, confidence: float = 0.6, sample: int = 200_000, most: int = 5_000) -> list[list[str]]:
-    """Token combinations that mean block, by FP-growth over ``labelled`` (url, block): those whose rule
-    ``tokens => block`` reaches ``support`` and ``confidence``, without those that contain a shorter one.
-
-    Fitted on at most ``sample`` labelled URLs, the first by a hash of the URL. Rules come to the driver, as support
-    bounds their number; more than ``most`` is an error that asks for more support, not a cut."""
-    rows = labelled.filter(F.col("url").isNotNull() & F.col("block").isNotNull()).orderBy(F.xxhash64("url"), "url").limit(sample)
-    rows = rows.select(F.concat(tokens(F.col("url")), F.when(F.col("block"), F.array(F.lit(LABEL))).otherwise(F.array().cast("array<string>"))).alias("items"))
-    rows = materialize(rows.filter(F.size("items") > 0), "url-sample")
-    if rows.filter(F.array_contains("items", LABEL)).isEmpty():
-        return []
-    # Only rows with the label can support a rule, so patterns are grown from those; confidence counts all rows.
-    least = max(2, round(support * rows.count()))
-    bad = rows.filter(F.array_contains("items", LABEL)).select(F.array_remove("items", LABEL).alias("items"))
-    n_bad = bad.count()
-    model = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n_bad)).fit(bad)
-    sets = model.freqItemsets.select(F.col("items").alias("rule"), F.col("freq").alias("blocked"))
-    sets = materialize(sets.select(F.array_sort("rule").alias("rule"), "blocked"), "url-patterns")
-    if sets.limit(200_001).count() > 200_000:
-        raise ValueError("too many frequent token combinations; raise support")
-    known = {tuple(r["rule"]): r["blocked"] for r in sets.toLocalIterator()}
-    allowed = rows.filter(~F.array_contains("items", LABEL)).groupBy("items").count()
-    clean = dict.fromkeys(known, 0)
-    index: dict[str, list[tuple[str, ...]]] = {}
-    rare = {k[0]: v for k, v in known.items() if len(k) == 1}
-    for rule in known:
-        index.setdefault(min(rule, key=lambda t: (rare.get(t, 0), t)), []).append(rule)
-    for row in allowed.toLocalIterator():
-        own = set(row["items"])
-        for token in own:
-            for rule in index.get(token, ()):
-                if own.issuperset(rule):
-                    clean[rule] += row["count"]
-    good = sorted((r for r in known if known[r] / (known[r] + clean[r]) >= confidence), key=lambda r: (len(r), r))
-    kept: list[tuple[str, ...]] = []
-    for rule in good:
-        if not any(set(k) <= set(rule) for k in kept):
-            kept.append(rule)
-    if len(kept) > most:
-        raise ValueError(f"{len(kept)} rules; raise support")
-    return [list(r) for r in kept]
-
-
-def matches(rules: list[list[str]], words: Column) -> Column:
-    """True where all tokens of a rule are among ``words``. The rules stand in an inverted index, a map literal from
-    each rule's last token in code point order to the rules filed there, so a URL looks at a few rules only."""
-    if not rules:
-        return F.lit(False)
-    index: dict[str, list[list[str]]] = {}
-    for rule in rules:
-        index.setdefault(max(rule), []).append(rule)
-    pairs = [x for token, filed in sorted(index.items()) for x in (F.lit(token), F.array(*[F.array(*map(F.lit, r)) for r in filed]))]
-    table = F.create_map(*pairs)
-    return F.exists(words, lambda t: F.coalesce(F.exists(F.try_element_at(table, t), lambda r: F.size(F.array_except(r, words)) == 0), F.lit(False)))
-
-
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], mined: list[list[str]], id_column: str = "page_id", url_column: str = "url") -> DataFrame:
-    """One row (id, host, path, rule, verdict) per row of ``pages``, in one narrow pass over the url column.
+def _filed(rules: DataFrame, counts: DataFrame) -> DataFrame:
+    """``rules`` (rule, ...) with ``token``: the rule's rarest, under which the inverted index files it."""
+    rare = rules.select("rule", F.explode("rule").alias("token")).join(counts, "token", "left")
+    rare = rare.groupBy("rule").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("r")).select("rule", F.col("r.token").alias("token"))
+    return rules.join(rare, "rule")
+
+
+def _holding(rows: DataFrame, filed: DataFrame) -> DataFrame:
+    """Rows of ``rows`` (items, ...) beside each rule all of whose tokens are among ``items``: each token of a row looks
+    up the rules filed under it, and only those are compared."""
+    looked = rows.withColumn("token", F.explode("items")).join(filed, "token")
+    return looked.filter(F.size(F.array_except("rule", "items")) == 0).drop("token")
+
+
+def lower_bound(hits: Column, n: Column, z: float) -> Column:
+    """The lower end of Wilson's interval for a share of ``hits`` in ``n``."""
+    share, z2 = hits / n, z * z
+    return (share + z2 / (2 * n) - z * F.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
+
+
+def no_rules(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([], "rule array<string>, token string, blocked long, seen long")
+
+
+def mine(labelled: DataFrame, support: float = 0.002, rows: int = 20, confidence: float = 0.6, lift: float = 1.5, z: float = 3.0, sample: int = 200_000) -> DataFrame:
+    """Token combinations that mean block: a table (rule, token, blocked, seen) of token lists, the token that each is
+    filed under, and the numbers of different blocked URLs and of all different URLs that hold it.
+
+    FP-growth over the blocked URLs of ``labelled`` (url, block) gives the combinations that ``support`` of all URLs hold,
+    ``rows`` of them at least. Of these a rule is kept if the share of blocked URLs among all that hold it reaches
+    ``confidence``, the lower end of its interval at ``z`` deviations reaches ``lift`` times the share among all URLs (or
+    halfway from that to one, if it is less), and no part of it is a rule. The floor of rows and the interval keep out
+    combinations that chance makes, at every size of the table.
+
+    Fitted on at most ``sample`` different URLs, the first by a hash of the URL; a URL given with both labels counts as
+    blocked, null URLs and labels not at all. Tokens that occur in the same URLs stand for one another, and the first of
+    them alone is mined, else long paths would double the combinations with each token. Combinations, counts and rules
+    stay tables; nothing but three counts reaches the driver."""
+    spark = labelled.sparkSession
+    urls = labelled.filter(F.col("url").isNotNull() & F.col("block").isNotNull()).groupBy("url").agg(F.max("block").alias("block"))
+    urls = urls.orderBy(F.xxhash64("url"), "url").limit(sample).select(tokens(F.col("url")).alias("items"), "block", F.xxhash64("url").alias("at"))
+    urls = materialize(urls.filter(F.size("items") > 0), "url-sample")
+    n, n_bad = urls.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.col("block").cast("long")), F.lit(0))).first()
+    least = max(rows, math.ceil(support * n))
+    if n_bad < least:
+        return no_rules(spark)
+    where = urls.select(F.explode("items").alias("token"), "at").groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.bit_xor("at").alias("x"), F.sum(F.pmod("at", F.lit(1 << 40))).alias("s"))
+    alike = where.groupBy("n", "x", "s").agg(F.min("token").alias("token"))
+    counts = materialize(alike.filter(F.col("n") >= least).select("token", "n"), "url-tokens")
+    known = urls.select("at", "block", F.explode("items").alias("token")).join(counts, "token").groupBy("at", "block").agg(F.collect_set("token").alias("items"))
+    known = materialize(known, "url-items")
+    bad = known.filter("block").select("items")
+    if bad.isEmpty():
+        return no_rules(spark)
+    found = FPGrowth(itemsCol="items", minSupport=min(1.0, least / bad.count())).fit(bad).freqItemsets
+    sets = materialize(found.select(F.array_sort("items").alias("rule"), F.col("freq").alias("blocked")), "url-patterns")
+    filed = materialize(_filed(sets, counts), "url-filed")
+    seen = _holding(known.groupBy("items").agg(F.count(F.lit(1)).alias("n")), filed.select("rule", "token")).groupBy("rule").agg(F.sum("n").alias("seen"))
+    base = n_bad / n
+    good = filed.join(seen, "rule").filter(F.col("blocked") / F.col("seen") >= confidence).filter(lower_bound(F.col("blocked"), F.col("seen"), z) >= min(lift * base, (1 + base) / 2))
+    good = materialize(good.select("rule", "token", "blocked", "seen"), "url-good")
+    parts = good.select(F.col("rule").alias("part"), "token")
+    longer = good.select(F.col("rule").alias("items")).withColumn("token", F.explode("items")).join(parts, "token")
+    longer = longer.filter((F.size("part") < F.size("items")) & (F.size(F.array_except("part", "items")) == 0)).select(F.col("items").alias("rule")).distinct()
+    rules = materialize(good.join(longer, "rule", "left_anti"), "url-rules")
+    discard(urls, counts, known, sets, filed, good)
+    return rules
+
+
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], mined: DataFrame | None = None, id_column: str = "page_id", url_column: str = "url") -> DataFrame:
+    """One row (id, host, path, rule, verdict) per row of ``pages``. Stated rules decide in one narrow pass; the different
+    URLs that none of them fits meet the ``mined`` ones (a table from mine()) through the inverted index.
 
     A null url, or one without ``://``, has empty host and path, no stated rule, and no tokens of either; a url that
-    no rule of either kind fits is allowed. Repeated rows are judged alike."""
-    rows = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url")).select("id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
+    no rule of either kind fits is allowed. Repeated rows are judged alike, urls are read whole, an empty table gives an
+    empty result, and no other columns are read, whatever their names."""
+    named = pages.select(F.col(id_column).alias("id"), F.col(url_column).alias("url")).select("id", "url", host(F.col("url")).alias("host"), path(F.col("url")).alias("path"))
     rule, verdict = stated(rules, F.col("host"), F.col("path"))
-    other = F.when(F.coalesce(matches(mined, tokens(F.col("url"))), F.lit(False)), F.lit("block")).otherwise(F.lit("allow"))
-    return rows.select("id", "host", "path", rule.alias("rule"), F.coalesce(verdict, other).alias("verdict"))
+    named = named.select("id", "url", "host", "path", rule.alias("rule"), verdict.alias("verdict"))
+    if mined is None or mined.isEmpty():
+        return named.select("id", "host", "path", "rule", F.coalesce("verdict", F.lit("allow")).alias("verdict"))
+    open_ = named.filter(F.col("verdict").isNull() & F.col("url").isNotNull()).select("url").distinct().withColumn("items", tokens(F.col("url")))
+    filed = mined.select("rule", "token")
+    hit = materialize(_holding(open_, filed if mined.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS else F.broadcast(filed)).select("url").distinct().withColumn("hit", F.lit(True)), "url-hits")
+    out = small_join(named, hit, ["url"], "left")
+    return out.select("id", "host", "path", "rule", F.coalesce("verdict", F.when(F.col("hit"), F.lit("block")), F.lit("allow")).alias("verdict"))
