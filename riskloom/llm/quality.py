@@ -112,7 +112,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, width: int = 2
     the calibration, split by a second hash. Three passes over the sample sum moments, normal equations and
     calibration counts within each task; the driver solves one (width + 1)-square system.
 
-    With no usable label of either class the model scores 0.5 everywhere."""
+    With no usable label of either class, as in empty tables, the model scores 0.5 everywhere. Null texts count as empty,
+    null ids and labels not at all, an id labelled twice counts as good if either says so, texts are read whole, and no
+    other columns of ``docs`` are read, whatever their names."""
     chosen = training_ids(labels, "quality", sample)
     part = (F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(3)) == 0).cast("int")
     rows = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("t")).join(F.broadcast(chosen), "doc_id")
@@ -174,7 +176,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 20_000, width: int = 2
 def quality(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row (id, score) per row of ``docs``: score between 0 and 1 that the text is of good quality. One pass
     over whole texts, no shuffle. A null text counts as empty; an empty text has statistics of zero and is scored
-    like any other."""
+    like any other; repeated rows score alike; an empty table gives an empty one; no other columns are read."""
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("t"))
 
     def run(batches):

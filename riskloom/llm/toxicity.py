@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -14,32 +15,51 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, in_arrow, materialize, text_or_empty, training_ids
+from .common import aside, fresh, in_arrow, materialize, spread, text_or_empty, training_ids
 
-# One character for one character, so that places in folded and raw text agree.
-LOOKALIKES = dict(zip("аеорсухіјѕԁɡһкмтвнαεορυικντ", "aeopcyxijsdghkmtbhaeopuiknt", strict=True))
-DIGITS = dict(zip("013457@$!", "oieastasi", strict=True))
+#: Letters of other alphabets, and of this one in other shapes, that pass for a Latin letter; decomposition has dealt
+#: with accents, full-width, circled and mathematical forms before.
+LOOKALIKES = dict(zip("аеорсухіјѕԁɡһкмтвнѵԛԝαεορυικντηχωγıłøđħŧſɑɩɪʀɴʟʏʙɢʜ", "aeopcyxijsdghkmtbhvqwaeopuikntnxwyilodhtsaiirnlybgh", strict=True))
+DIGITS = dict(zip("01345789@$!€", "oieastbgasie", strict=True))
 FOLD = str.maketrans(LOOKALIKES | DIGITS)
+#: Accents, variation selectors, and characters without width.
+UNSEEN = re.compile("[\u00ad\u0300-\u036f\u061c\u180b-\u180e\u1ab0-\u1aff\u1dc0-\u1dff\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\ufeff]+")
+#: Four characters or more that stand alone, with a mark or two between each.
+SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*·•|/~]{1,2}){3,}[^\W_](?![^\W_])")
+MARKS = re.compile(r"[ .\-_*·•|/~]+")
+REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 
 SEED_LEXICON = {w: 2.0 for w in ("idiot", "moron", "stupid", "scum", "loser", "worthless", "pathetic", "disgusting", "imbecile", "bastard")}
-#: Phrases in which a listed word is harmless: a match inside one does not count.
-EXCEPTIONS = ("class clown", "clown fish", "clownfish", "trash can", "trash bin", "pond scum", "sore loser rule", "stupid question")
+#: Phrases in which a listed or learned word is harmless: a match inside one does not count.
+EXCEPTIONS = ("pond scum", "soap scum", "stupid question", "idiot proof", "idiot-proof", "sore loser rule", "class clown", "clown fish", "clownfish", "trash can", "trash bin")
 END = "\0"  # closes a whole word in a stem
-SHORTEST, LONGEST = 3, 14
+SHORTEST, LONGEST, WORD_LONGEST = 3, 14, 64
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def fold(text: str) -> str:
-    """Lower case, with look-alike letters and digit substitutions folded; as long as ``text``."""
-    low = text.lower()
-    if len(low) != len(text):
-        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+def plain(text: str) -> str:
+    """Lower case without accents and invisible characters, compatibility forms resolved, and letters that were set
+    apart ("i.d.i.o.t") joined."""
+    if not text.isascii():
+        text = UNSEEN.sub("", unicodedata.normalize("NFKD", text))
+    return SPACED.sub(lambda m: MARKS.sub("", m.group()), text.lower())
+
+
+def views(text: str) -> list[str]:
+    """The plain text; where a letter stands three times or more in a row, once with one and once with two of it."""
+    low = plain(text)
+    return [REPEATED.sub(r"\1", low), REPEATED.sub(r"\1\1", low)] if REPEATED.search(low) else [low]
+
+
+def fold(low: str) -> str:
+    """Plain text with look-alike letters and digit substitutions folded, character for character, so that places in
+    both agree."""
     return low.translate(FOLD)
 
 
 def words(text: str) -> set[str]:
     """Folded words of three letters or more. Digits fold to letters, so a number is no word unless it holds a letter."""
-    found = {(m.group(), text[m.start() : m.end()]) for m in WORD.finditer(fold(text))}
+    found = {(m.group(), low[m.start() : m.end()]) for low in views(text) for m in WORD.finditer(fold(low))}
     return {w for w, raw in found if len(w) >= SHORTEST and any(map(str.isalpha, raw))}
 
 
@@ -55,30 +75,34 @@ class Lexicon:
     def __getstate__(self):
         return {"weights": self.weights, "exceptions": self.exceptions, "scale": self.scale, "_machine": None}
 
+    def entries(self) -> dict[str, tuple[int, float, bool]]:
+        """By word: length, weight, and whether it counts as a whole word only; an open stem of the same spelling wins,
+        as it covers the word and its forms. Exception phrases have weight 0."""
+        made: dict[str, tuple[int, float, bool]] = {}
+        for stem, weight in self.weights.items():
+            word = stem.removesuffix(END)
+            _, other, whole = made.get(word, (0, weight, True))
+            made[word] = (len(word), max(weight, other), whole and stem.endswith(END))
+        return made | {phrase: (len(phrase), 0.0, True) for phrase in self.exceptions}
+
     def machine(self):
         if self._machine is None:
             made = ahocorasick.Automaton()
-            for stem, weight in self.weights.items():
-                word = stem.removesuffix(END)
-                made.add_word(word, (len(word), weight, stem.endswith(END) or made.get(word, (0, 0, False))[2]))
-            for phrase in self.exceptions:
-                made.add_word(phrase, (len(phrase), 0.0, True))
+            for word, entry in self.entries().items():
+                made.add_word(word, entry)
             made.make_automaton()
             self._machine = made
         return self._machine
 
-    def measure(self, text: str) -> tuple[float, float]:
-        """Summed weights of the matches, and the same for each 100 words."""
-        if not text or not self.weights:
-            return 0.0, 0.0
-        low, found, spared = fold(text), {}, []
-        for end, (size, weight, whole) in self.machine().iter(low):
+    def _total(self, low: str) -> float:
+        found, spared = {}, []
+        for end, (size, weight, whole) in self.machine().iter(fold(low)):
             start, after = end - size + 1, end + 1
-            if start and text[start - 1].isalpha():
+            if start and low[start - 1].isalpha():
                 continue
-            if whole and after < len(text) and text[after].isalpha():
+            if whole and after < len(low) and low[after].isalpha():
                 continue
-            if not any(map(str.isalpha, text[start:after])):
+            if not any(map(str.isalpha, low[start:after])):
                 continue  # a number, not a word
             if weight:
                 found[start] = max(found.get(start, 0.0), weight)
@@ -86,7 +110,13 @@ class Lexicon:
                 spared.append((start, after))
         if spared:
             found = {s: w for s, w in found.items() if not any(a <= s < b for a, b in spared)}
-        total = float(sum(found.values()))
+        return float(sum(found.values()))
+
+    def measure(self, text: str) -> tuple[float, float]:
+        """Summed weights of the matches, and the same for each 100 words; of two views of a text the greater."""
+        if not text or not self.weights:
+            return 0.0, 0.0
+        total = max(map(self._total, views(text)))
         return total, 100.0 * total / max(1, len(text.split())) if total else 0.0
 
     def score(self, text: str) -> float:
@@ -103,7 +133,7 @@ def _stem_counts(batches):
             stems = set()
             for word in words(text):
                 stems.update(word[:k] for k in range(SHORTEST, min(len(word), LONGEST) + 1))
-                if len(word) <= LONGEST:
+                if len(word) <= WORD_LONGEST:  # what is longer is no word, but its stems count
                     stems.add(word + END)
             counts.update((s, label) for s in stems)
             if len(counts) > 100_000:
@@ -150,8 +180,10 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, odds: float
 
     At most ``sample`` labelled ids are used, the first by a hash of the id; that bound is what makes the broadcast
     of the ids, the collected stems and the fitted scale bounded. Stems are counted by document in the tasks, and
-    only those found in at least three toxic documents (or 1 % of them) come to the driver. With no toxic label at
-    all, the seed lexicon and a fixed scale are used."""
+    only those found in at least three toxic documents (or 1 % of them) come to the driver. Texts are read whole; null
+    texts count as empty, null ids and labels not at all, an id given twice or labelled twice counts once and as toxic
+    if either says so. With no toxic or no clean label, as in empty tables, the seed lexicon and a fixed scale are used.
+    Columns other than id and text are not read."""
     chosen = training_ids(labels, "toxic", sample)
     picked = docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("t")).join(F.broadcast(chosen), "doc_id")
     # of equal texts one counts, else the words of a text that was copied often look like a lexicon
@@ -161,7 +193,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, odds: float
     if not toxic or not clean:
         return Lexicon({k + END: v for k, v in SEED_LEXICON.items()})
     least = max(3, toxic // 100)
-    stems = picked.transform(in_arrow, _stem_counts, "stem string, label int, n long").groupBy("stem").agg(
+    stems = spread(picked).transform(in_arrow, _stem_counts, "stem string, label int, n long").groupBy("stem").agg(
         F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("a"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("b"))
     ratio = (F.col("a") + 0.5) / (toxic + 1) / ((F.col("b") + 0.5) / (clean + 1))
     stems = stems.filter((F.col("a") >= least) & (ratio >= float(np.exp(odds))))
@@ -181,7 +213,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000, odds: float
 def toxicity(docs: DataFrame, lexicon: Lexicon, text_column: str = "text", score_column: str = "score") -> DataFrame:
     """``docs`` with ``score`` between 0 and 1 added, from the whole text of each row; one pass, no shuffle.
 
-    A null or empty text has no match and scores the scale's floor. Equal texts score equally."""
+    A null or empty text has no match and scores the scale's floor. Equal texts score equally, long ones are read whole,
+    an empty table gives an empty one. A column of ``docs`` that is named like the score stays as ``<name>_input``."""
+    docs = aside(docs, [score_column])
     text = fresh(docs.columns, "__t")
     rows = docs.withColumn(text, text_or_empty(text_column)).select(*docs.columns, text)
     place = len(docs.columns)
