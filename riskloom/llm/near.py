@@ -7,6 +7,7 @@ sets then give every other pair that can reach the similarity."""
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
@@ -24,6 +25,7 @@ from .simhash import majority, votes
 WIDTH, SIMILARITY = 5, 0.8
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 SAMPLE, COMMON, COMMON_LIMIT = 16, 4, 200_000
+YIELD = 20  # comparisons with pivots per link that are worth another round
 BITS, WORDS = 256, 4
 MAPS = [f"m{k}" for k in range(WORDS)]
 
@@ -143,6 +145,8 @@ def _verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, width: int,
     """Of ``pairs`` (a, b), those at ``similarity`` or more; the sets come from ``texts`` (h, t) again, as only some are
     needed and all would take more room than the texts."""
     pairs = materialize(pairs.filter("a <> b"), "near-pairs")
+    if pairs.isEmpty():
+        return pairs
     ends = materialize(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "near-ends")
     wanted = materialize(small_join(nodes.select("node", "h"), ends, ["node"]), "near-wanted")
     sets = small_join(texts, wanted, ["h"]).select("node", "t").transform(in_arrow, _sets(width), "node long, shingles array<long>")
@@ -174,16 +178,16 @@ def _fingerprint_pairs(nodes: DataFrame) -> DataFrame:
     return far.unionByName(same)
 
 
-def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, similarity: float = SIMILARITY, stars: int = 1) -> DataFrame:
+def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, similarity: float = SIMILARITY) -> DataFrame:
     """One row (id, h, root) per row of ``docs``; rows share a root if links between sets of ``width``-word shingles at
     Jaccard ``similarity`` or more connect them.
 
     SimHash fingerprints of the sets are linked as in simhash.links, and what they join is verified. For all other
     pairs: a set's prefix is its first shingles in one order of all, as many as leave less than ``similarity`` of the
     set; two linked sets share a shingle of their prefixes, so no link is missed. Rows that share a prefix shingle are
-    compared with one pivot of that bucket, ``stars`` times over; then every pair of a bucket that is not yet
-    connected and that sizes, places and parity maps allow is compared. Pairs that are connected already need no
-    comparison, which keeps large groups of near copies linear.
+    compared with one pivot of that bucket, another one each time, for as long as one comparison in YIELD finds a link;
+    then every pair of a bucket that is not yet connected and that sizes, places and parity maps allow is compared.
+    Pairs that are connected already need no comparison, which keeps large groups of near copies linear.
 
     A null text counts as empty; texts without words have an empty set and are one another's copies. Texts are read
     whole; repeated rows share a root; an empty table gives an empty result; no other columns are read, whatever their
@@ -205,12 +209,17 @@ def near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     links = _verified(_fingerprint_pairs(nodes), nodes, texts, width, similarity)
     shared = _labelled(shared, links)
-    for k in range(stars):
+    for k in itertools.count():
         row = F.struct(F.xxhash64("node", F.lit(k)).alias("order"), F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("place").alias("place_b"), F.col("label").alias("label_b"))
         pivots = shared.groupBy("key").agg(F.min(row).alias("pivot"))
         pairs = shared.join(pivots, "key").select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("place").alias("place_a"), "label", "pivot.*").filter("label <> label_b")
-        links = links.unionByName(_verified(_counted(pairs.filter(_possible(similarity)), similarity), nodes, texts, width, similarity))
+        pairs = materialize(_counted(pairs.filter(_possible(similarity)), similarity), "near-stars")
+        new = _verified(pairs, nodes, texts, width, similarity)
+        links, compared, found = links.unionByName(new), pairs.count(), new.count()
+        discard(pairs)
         shared = _labelled(shared, links)
+        if found * YIELD < compared or not found:
+            break
 
     # a pair of two components has a row outside the component that most rows of the key have
     main = shared.groupBy("key", "label").count().groupBy("key").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
