@@ -134,7 +134,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Every magic is a candidate; only the chain of stated lengths from the file's first byte makes records, so a
     magic inside a payload is rejected and its bytes stay in the payload. A file that is cut or damaged gives the
-    records before the damage; an empty one gives none."""
+    records before the damage; an empty one gives none. The files are read twice, so they must not change meanwhile."""
     found = materialize(_candidates(spark, path), "warc-candidates")
     good = materialize(_reachable(found), "warc-records")
     chunks = _chunks(spark, path)

@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+from pyspark.sql import functions as F
+
 from riskloom.llm import exact
 
 ROWS = [(5, "a  b"), (3, "a\t\nb"), (9, "a b"), (1, None), (2, ""), (4, " "), (7, "a\xa0b"), (8, "long " * 50_000), (6, "long " * 50_000), (3, "a\t\nb"), (None, "a b"), (None, "alone")]
@@ -35,6 +37,15 @@ def test_stage_keeps_columns(docs):
     assert sorted(norm(r.text) for r in out.collect()) == sorted({norm(t) for _, t in ROWS})
 
 
+def test_digests_that_texts_share_merge_nothing(docs, monkeypatch):
+    """As if the digest had sixteen values: texts stay apart, in groups and in the last join."""
+    plain = [sorted(map(str, f(docs(ROWS)).collect())) for f in (exact.exact_duplicates, exact.without_exact_duplicates)]
+    monkeypatch.setattr(exact, "digest", lambda norm: F.substring(F.sha2(norm, 256), 1, 1))
+    assert [sorted(map(str, f(docs(ROWS)).collect())) for f in (exact.exact_duplicates, exact.without_exact_duplicates)] == plain
+    monkeypatch.setattr(exact, "digest", lambda norm: F.lit("same"))
+    assert sorted(map(str, exact.exact_duplicates(docs(ROWS)).collect())) == plain[0]
+
+
 def test_empty_table(docs):
     assert exact.exact_duplicates(docs([])).count() == 0
     assert exact.without_exact_duplicates(docs([])).count() == 0
