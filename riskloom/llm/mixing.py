@@ -22,24 +22,38 @@ def quality_weight(text: Column) -> Column:
     return F.greatest(F.lit(0.1), 1.0 / (1.0 + 20.0 * noise / F.greatest(F.length(text), F.lit(1))))
 
 
-def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float) -> DataFrame:
+def _before(rows: DataFrame, order: list[Column], ranges: int, **sums: Column) -> DataFrame:
+    """``rows`` with the sum of each column of ``sums`` over the rows before, in a total order. With ``ranges``, rows are
+    dealt by range, each range runs on its own, and the sums of the ranges before are added; else in one place."""
+    ahead = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    if not ranges:
+        return rows.withColumns({name: ahead(Window.orderBy(*order), c) for name, c in sums.items()})
+    dealt = materialize(rows.repartitionByRange(ranges, *order).withColumn("__p", F.spark_partition_id()), "mix-ranges")
+    totals = dealt.groupBy("__p").agg(*[F.sum(c).alias(f"__t_{name}") for name, c in sums.items()])
+    carried = totals.select(F.col("__p").alias("__cp"), *[ahead(Window.orderBy("__p"), F.col(f"__t_{name}")).alias(f"__c_{name}") for name in sums])  # a row a range
+    own = dealt.withColumns({name: ahead(Window.partitionBy("__p").orderBy(*order), c) for name, c in sums.items()})
+    out = own.join(F.broadcast(carried), F.col("__p") == F.col("__cp"))
+    return out.withColumns({name: F.col(name) + F.col(f"__c_{name}") for name in sums}).drop("__p", "__cp", *[f"__c_{name}" for name in sums])
+
+
+def targets(sizes: DataFrame, weights: tuple[float, ...], cap: float, many: int = 10_000) -> DataFrame:
     """``sizes`` (source, source_size): one row a source. Sources in code point order, null last, take ``weights``
     in turn and share the total of all sizes in proportion, each up to ``cap`` times its size; what lies above is
     shared again among the rest until none is above. That fixed point is a water level: with sources ordered by
     cap / weight, the first k stand at their cap and the others at level x weight, for the one k where the
-    level lies under the next cap. The windows here run over one row a source, never over documents."""
-    order = Window.orderBy(F.col("source").isNull(), "source")
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights))) + 1
-    rows = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), turn.cast("int")))
+    level lies under the next cap. The two orders run over one row a source, never over documents, and over ranges of
+    sources where there are more than ``many``."""
+    ranges = 64 if sizes.limit(many + 1).count() > many else 0
+    by_name = [F.col("source").isNull(), F.col("source")]
+    rows = _before(sizes, by_name, ranges, turn=F.lit(1))
+    rows = rows.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod("turn", F.lit(len(weights))) + 1).cast("int")))
     rows = rows.withColumn("cap", F.col("source_size") * float(cap)).withColumn("ratio", F.col("cap") / F.col("weight"))
-    filling = Window.orderBy("ratio", F.col("source").isNull(), "source")
-    everything = Window.partitionBy()
-    rows = rows.withColumn("before", F.coalesce(F.sum("cap").over(filling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
-    rows = rows.withColumn("rest", F.sum("weight").over(filling.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    rows = rows.withColumn("level", (F.sum("source_size").over(everything) - F.col("before")) / F.col("rest"))
+    totals = F.broadcast(rows.agg(F.sum("source_size").alias("all_sizes"), F.sum("weight").alias("all_weights")))  # one row
+    rows = _before(rows, [F.col("ratio"), *by_name], ranges, caps=F.col("cap"), weights=F.col("weight")).crossJoin(totals)
+    rows = rows.withColumn("level", (F.col("all_sizes") - F.col("caps")) / (F.col("all_weights") - F.col("weights")))
     rows = rows.withColumn("full", F.col("ratio") <= F.col("level"))
-    rows = rows.withColumn("water", F.min(F.when(~F.col("full"), F.struct("ratio", "level"))).over(everything)["level"])
-    return rows.select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("water") * F.col("weight")).alias("target"))
+    water = F.broadcast(rows.agg(F.min(F.when(~F.col("full"), F.struct("ratio", "level"))).alias("water")))  # one row
+    return rows.crossJoin(water).select("source", "source_size", F.when(F.col("full"), F.col("cap")).otherwise(F.col("water.level") * F.col("weight")).alias("target"))
 
 
 def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source",
@@ -66,7 +80,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     sized = docs.withColumns({"size": word_count(text), key: F.struct(fine.alias("bin"), late.alias("late"), F.xxhash64(F.col(id_column), text).alias("tie"))})
     rows = sized.select(F.col(source_column).alias("source"), "size", F.col(f"{key}.bin").alias("bin"), F.col(f"{key}.late").alias("late"), F.col(f"{key}.tie").alias("tie"))
     rows = materialize(rows, "mix-sizes")
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sizes = materialize(rows.groupBy("source").agg(F.sum("size").alias("source_size")), "mix-sources")
     plan = targets(sizes, weights, cap).withColumn("epochs", F.coalesce(F.floor(F.try_divide("target", "source_size")), F.lit(0)).cast("long"))
     # round() also settles targets that float arithmetic leaves a hair beside a whole number of epochs
     plan = plan.withColumn("left", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("long"))
@@ -102,7 +116,7 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
 
     whole = plan.select(F.col("source").alias("t_source"), "source_size", "target", "epochs")
     whole = materialize(whole.join(edge.select("p_source", "lo"), same("t_source", "p_source")).drop("p_source"), "mix-plan")
-    discard(rows, plan, edge, *superseded)
+    discard(rows, sizes, plan, edge, *superseded)
     out = sized.withColumn(src, F.col(source_column))
     out = _by_source(out, whole, F.col(src).eqNullSafe(F.col("t_source")))
     on = F.col(src).eqNullSafe(F.col("b_source")) & (F.col(f"{key}.late") == F.col("b_late")) & (F.col(f"{key}.tie") == F.col("b_tie"))

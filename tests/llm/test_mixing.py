@@ -71,3 +71,13 @@ def test_columns_nulls_repeats_and_empty_tables(docs):
     assert len(out.collect()) == len(rows)
     assert mixing.mix(docs([])).count() == 0
     assert [r.taken for r in mixing.mix(docs([(1, None, "s")])).collect()] == [0]
+
+
+def test_very_many_sources(spark):
+    rng = random.Random(7)
+    sizes = {f"s{i:04d}" if i else None: rng.choice([0, 1, rng.randrange(1, 10_000)]) for i in range(500)}
+    rows = spark.createDataFrame(list(sizes.items()), "source string, source_size long")
+    want = water(sizes)
+    for many in (10_000, 10):  # in one place, and by ranges
+        got = {r.source: r.target for r in mixing.targets(rows, (5.0, 2.0, 1.0), 3.0, many).collect()}
+        assert got.keys() == want.keys() and all(abs(got[s] - want[s]) < 1e-6 * max(1, want[s]) for s in want)
