@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom.functions import ids, measures
-from riskloom.operators import graph, metrics, rules, timeline, validation
+from riskloom.operators import controls, graph, metrics, rules, timeline, validation
 from riskloom.schemas import PAYLOADS
 from riskloom.sources.adapters import EventsAdapter, OrdersAdapter, coverage_mismatch
 
@@ -241,8 +241,7 @@ def late_events_split(spark, sf_dir):
 
 def late_split(e):
     e = e.withColumn("batch", F.floor((F.col("event_id") + F.col("event_id") * 7919 % 500) / 500).cast("long"))
-    e = timeline.greatest_before(e, "batch", F.unix_micros("ts"), "top")
-    return e.withColumn("is_late", F.coalesce(F.unix_micros("ts") < F.col("top") - 600_000_000, F.lit(False)))
+    return controls.marked_late(e, "batch", "ts")
 
 
 @query("SELECT CASE WHEN event_type IN ('view', 'click', 'purchase') THEN event_type ELSE 'UNKNOWN' END AS kind, count(*) AS n FROM events GROUP BY 1")
@@ -376,18 +375,14 @@ def degraded_scoring(spark, sf_dir):
 def entity_scope(spark, sf_dir):
     """Only what belongs to the entities in scope."""
     scope = table(spark, sf_dir, "customer").filter("c_mktsegment = 'MACHINERY'").select(F.col("c_custkey").alias("user_id"))
-    return events(spark, sf_dir).join(scope, "user_id", "left_semi").select("event_id")
+    return controls.in_scope(events(spark, sf_dir), scope, "user_id").select("event_id")
 
 
 @query("SELECT o_orderkey AS case_id FROM orders WHERE o_orderkey % 5 = 2 OR o_orderkey % 5 = 4")
 def row_visibility(spark, sf_dir):
     """An analyst sees their own and unassigned cases."""
     cases = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("case_id"), F.when(F.col("o_orderkey") % 5 != 4, F.concat(F.lit("analyst"), F.col("o_orderkey") % 5)).alias("assignee"))
-    return visible(cases, "analyst2", "analyst").select("case_id")
-
-
-def visible(cases, user: str, role: str):
-    return cases if role == "manager" else cases.filter(F.col("assignee").isNull() | (F.col("assignee") == user))
+    return controls.visible(cases, "analyst2", "analyst").select("case_id")
 
 
 @query("""
@@ -395,7 +390,7 @@ def visible(cases, user: str, role: str):
 def circuit_breaker(spark, sf_dir):
     """Accounts with two actions of a type or more in an hour."""
     e = events(spark, sf_dir).filter("event_type = 'error'")
-    return e.groupBy("user_id", F.floor(F.unix_micros("ts") / 3_600_000_000).alias("hour")).agg(F.count(F.lit(1)).alias("errors")).filter("errors >= 2")
+    return controls.tripped(e, "user_id", "ts", 1).select("user_id", F.col("window").alias("hour"), F.col("actions").alias("errors"))
 
 
 LATE = f"""(WITH m AS (SELECT batch, max(max(ts)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 10 MINUTE AS mark FROM {BATCHED} GROUP BY 1)
@@ -408,14 +403,14 @@ def parity(spark, sf_dir):
     e = late_split(events(spark, sf_dir))
     offline = e.groupBy("user_id").agg(F.count(F.lit(1)).alias("offline"))
     online = e.filter("not is_late").groupBy("user_id").agg(F.sum(F.when(F.col("event_id") % 50 == 0, 2).otherwise(1)).alias("online"))
-    return offline.join(online, "user_id", "full_outer")
+    return controls.parity(offline, online, "user_id")
 
 
 @query(f"""
     SELECT coalesce(a.user_id, b.user_id) AS user_id, offline, CAST(online AS BIGINT) AS online FROM (SELECT user_id, count(*) AS offline FROM events GROUP BY 1) a
     FULL JOIN (SELECT user_id, count(*) AS online FROM {ONLINE} GROUP BY 1) b ON a.user_id = b.user_id WHERE offline IS DISTINCT FROM online""")
 def feature_parity(spark, sf_dir):
-    return parity(spark, sf_dir).filter(~F.col("offline").eqNullSafe(F.col("online"))).select("user_id", "offline", "online")
+    return parity(spark, sf_dir).filter("not equal").select("user_id", "offline", "online")
 
 
 @query(f"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from riskloom import catalog
-from riskloom.operators import ledger
+from riskloom.operators import controls, ledger
 
 from .inputs import EVENTS, events, table
 from .registry import query
@@ -55,25 +55,23 @@ def unnecessary_calls(spark, sf_dir):
 
 @query("SELECT event_type AS tool, count(*) AS calls, round(avg(CASE WHEN value > 20 THEN 1.0 ELSE 0.0 END), 6) AS success_rate, round(avg(CASE WHEN event_id % 9 = 0 THEN 1.0 ELSE 0.0 END), 6) AS override_rate FROM events GROUP BY 1")
 def investigation_rates(spark, sf_dir):
-    rate = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
-    return events(spark, sf_dir).groupBy(F.col("event_type").alias("tool")).agg(F.count(F.lit(1)).alias("calls"), rate(F.col("value") > 20).alias("success_rate"), rate(F.col("event_id") % 9 == 0).alias("override_rate"))
+    out = controls.rates(events(spark, sf_dir).withColumnRenamed("event_type", "tool"), "tool", success_rate=F.col("value") > 20, override_rate=F.col("event_id") % 9 == 0)
+    return out.select("tool", "calls", F.round("success_rate", 6).alias("success_rate"), F.round("override_rate", 6).alias("override_rate"))
 
 
 @query("""
     SELECT conv_id, round(sum(length(text) * CAST(rate AS DOUBLE)), 6) AS cost FROM conversations JOIN (VALUES ('system', 0.000001), ('user', 0.000002), ('assistant', 0.000008)) r(role, rate) USING (role) GROUP BY 1""")
 def cost_per_investigation(spark, sf_dir):
     rates = spark.createDataFrame([("system", 0.000001), ("user", 0.000002), ("assistant", 0.000008)], "role string, rate double")
-    c = table(spark, sf_dir, "conversations").join(F.broadcast(rates), "role")  # three rates
-    return c.groupBy("conv_id").agg(F.round(F.sum(F.length("text") * F.col("rate")), 6).alias("cost"))
+    return controls.token_cost(table(spark, sf_dir, "conversations"), rates, "role", F.length("text"), "conv_id").select("conv_id", F.round("cost", 6).alias("cost"))
 
 
 @query("""
     SELECT role, round(quantile_cont(length(text), 0.5), 6) AS p50, round(quantile_cont(length(text), 0.95), 6) AS p95, round(quantile_cont(length(text), 0.99), 6) AS p99, round(avg(length(text)), 6) AS mean FROM conversations GROUP BY 1""")
 def latency_percentiles(spark, sf_dir):
     """Exact percentiles; text length stands for a duration."""
-    n = F.length("text")
-    at = lambda p: F.round(F.percentile(n, p), 6)
-    return table(spark, sf_dir, "conversations").groupBy("role").agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.round(F.avg(n), 6).alias("mean"))
+    out = controls.percentiles(table(spark, sf_dir, "conversations"), "role", F.length("text"), p50=0.5, p95=0.95, p99=0.99)
+    return out.select("role", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99", "mean")])
 
 
 # --- audit chain: one chain per account and day, one event in 97 altered after it was written
