@@ -24,6 +24,8 @@ DIGITS = dict(zip("01345789@$!€", "oieastbgasie", strict=True))
 FOLD = str.maketrans(LOOKALIKES | DIGITS)
 #: Accents, variation selectors, and characters without width.
 UNSEEN = re.compile("[\u00ad\u0300-\u036f\u061c\u180b-\u180e\u1ab0-\u1aff\u1dc0-\u1dff\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\ufeff]+")
+#: The same without combining accents.
+INVISIBLE = re.compile("[\u00ad\u061c\u180b-\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\ufe00-\ufe0f\ufeff]+")
 #: Four characters or more that stand alone, with a mark or two between each.
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*·•|/~]{1,2}){3,}[^\W_](?![^\W_])")
 MARKS = re.compile(r"[ .\-_*·•|/~]+")
@@ -37,18 +39,23 @@ SHORTEST, LONGEST, WORD_LONGEST = 3, 14, 64
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def plain(text: str) -> str:
-    """Lower case without accents and invisible characters, compatibility forms resolved, and letters that were set
-    apart ("i.d.i.o.t") joined."""
+def plain(text: str, accents: bool = True) -> str:
+    """Lower case without invisible characters, compatibility forms resolved, and letters that were set apart
+    ("i.d.i.o.t") joined; with accents or without."""
     if not text.isascii():
-        text = UNSEEN.sub("", unicodedata.normalize("NFKD", text))
+        text = UNSEEN.sub("", unicodedata.normalize("NFKD", text)) if not accents else unicodedata.normalize("NFC", INVISIBLE.sub("", unicodedata.normalize("NFKC", text)))
     return SPACED.sub(lambda m: MARKS.sub("", m.group()), text.lower())
 
 
 def views(text: str) -> list[str]:
-    """The plain text; where a letter stands three times or more in a row, once with one and once with two of it."""
-    low = plain(text)
-    return [REPEATED.sub(r"\1", low), REPEATED.sub(r"\1\1", low)] if REPEATED.search(low) else [low]
+    """The plain text as it is and, if it has any, without accents, as these make words in some languages and hide them
+    in others. Where a letter stands three times or more in a row, each once with one and once with two of it."""
+    found = [plain(text)]
+    if not found[0].isascii() and (bare := plain(text, accents=False)) != found[0]:
+        found.append(bare)
+    if any(map(REPEATED.search, found)):
+        found = list(dict.fromkeys(REPEATED.sub(r, low) for low in found for r in (r"\1", r"\1\1")))
+    return found
 
 
 def fold(low: str) -> str:
@@ -113,7 +120,7 @@ class Lexicon:
         return float(sum(found.values()))
 
     def measure(self, text: str) -> tuple[float, float]:
-        """Summed weights of the matches, and the same for each 100 words; of two views of a text the greater."""
+        """Summed weights of the matches, and the same for each 100 words; of several views of a text the greatest."""
         if not text or not self.weights:
             return 0.0, 0.0
         total = max(map(self._total, views(text)))
