@@ -11,7 +11,7 @@ from pyspark.sql import Window
 
 from riskloom.operators.graph import components
 
-from .common import discard, in_arrow, materialize, row_hash, small_join, spread, text_or_empty
+from .common import discard, in_arrow, materialize, row_hash, spread, text_or_empty
 
 SEED = 42
 BLOCK = 1 << 15
@@ -83,9 +83,10 @@ def links(nodes: DataFrame, bucket_limit: int = 512) -> DataFrame:
     linked through their 2,016 two-wildcard keys over all 64 bits instead: such a key holds at most four
     distinct fingerprints, all within two bits, so linking each to the smallest loses no connection."""
     keyed = spread(nodes).select("fp", F.explode(_variants(F.col("fp"))).alias("key"))
-    # counted with map-side combining, as one bucket may hold a large share of the fingerprints
+    # counted with map-side combining, as one bucket may hold a large share of the fingerprints; always joined by sort
+    # and merge, which splits such a bucket and costs alike at every size
     sizes = materialize(keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "buckets")
-    sized = materialize(small_join(keyed, sizes, ["key"]), "variants")
+    sized = materialize(keyed.join(sizes.hint("merge"), "key"), "variants")
     discard(sizes)
     a = sized.filter(F.col("n") <= bucket_limit).select("key", F.col("fp").alias("a"))
     b = a.select(F.col("key").alias("key_b"), F.col("a").alias("b"))
