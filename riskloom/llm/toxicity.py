@@ -21,7 +21,8 @@ from .common import aside, fresh, in_arrow, materialize, spread, text_or_empty,
 #: with accents, full-width, circled and mathematical forms before.
 LOOKALIKES = dict(zip("аеорсухіјѕԁɡһкмтвнѵԛԝαεορυικντηχωγıłøđħŧſɑɩɪʀɴʟʏʙɢʜ", "aeopcyxijsdghkmtbhvqwaeopuikntnxwyilodhtsaiirnlybgh", strict=True))
 DIGITS = dict(zip("01345789@$!€", "oieastbgasie", strict=True))
-FOLD = str.maketrans(LOOKALIKES | DIGITS)
+FOLD = LOOKALIKES | DIGITS
+FOLDED = re.compile(f"[{''.join(map(re.escape, FOLD))}]")
 #: Accents, variation selectors, and characters without width.
 UNSEEN = re.compile("[\u00ad\u0300-\u036f\u061c\u180b-\u180e\u1ab0-\u1aff\u1dc0-\u1dff\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u206f\u20d0-\u20ff\ufe00-\ufe0f\ufe20-\ufe2f\ufeff]+")
 #: The same without combining accents.
@@ -29,6 +30,8 @@ INVISIBLE = re.compile("[\u00ad\u061c\u180b-\u180e\u200b-\u200f\u202a-\u202e\u20
 #: Four characters or more that stand alone, with a mark or two between each.
 SPACED = re.compile(r"(?<![^\W_])(?:[^\W_][ .\-_*·•|/~]{1,2}){3,}[^\W_](?![^\W_])")
 MARKS = re.compile(r"[ .\-_*·•|/~]+")
+IS_MARK = np.zeros(0x2024, bool)
+IS_MARK[[ord(c) for c in " .-_*·•|/~"]] = True
 REPEATED = re.compile(r"([^\W\d_])\1{2,}")
 
 SEED_LEXICON = {w: 2.0 for w in ("idiot", "moron", "stupid", "scum", "loser", "worthless", "pathetic", "disgusting", "imbecile", "bastard")}
@@ -39,21 +42,36 @@ SHORTEST, LONGEST, WORD_LONGEST = 3, 14, 64
 WORD = re.compile(r"[^\W\d_]+")
 
 
-def plain(text: str, accents: bool = True) -> str:
+def _shape(low: str) -> tuple[bool, bool]:
+    """Whether a text can hold letters set apart, and whether a letter stands three times in a row: cheap tests, as hardly
+    a text has either."""
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    if len(codes) < 3:
+        return False, False
+    same = codes[1:] == codes[:-1]
+    repeated = any(chr(c).isalpha() for c in np.unique(codes[2:][same[1:] & same[:-1]]).tolist())
+    mark = IS_MARK[np.minimum(codes, len(IS_MARK) - 1)]
+    alone = ~mark[1:-1] & mark[:-2] & mark[2:]
+    # of four letters or more the inner ones have a mark or two on both sides
+    return bool((alone[:-2] & alone[2:]).any() or (alone[:-3] & alone[3:]).any()), repeated
+
+
+def plain(text: str) -> str:
     """Lower case without invisible characters, compatibility forms resolved, and letters that were set apart
-    ("i.d.i.o.t") joined; with accents or without."""
+    ("i.d.i.o.t") joined."""
     if not text.isascii():
-        text = UNSEEN.sub("", unicodedata.normalize("NFKD", text)) if not accents else unicodedata.normalize("NFC", INVISIBLE.sub("", unicodedata.normalize("NFKC", text)))
-    return SPACED.sub(lambda m: MARKS.sub("", m.group()), text.lower())
+        text = unicodedata.normalize("NFC", INVISIBLE.sub("", unicodedata.normalize("NFKC", text)))
+    low = text.lower()
+    return SPACED.sub(lambda m: MARKS.sub("", m.group()), low) if _shape(low)[0] else low
 
 
 def views(text: str) -> list[str]:
     """The plain text as it is and, if it has any, without accents, as these make words in some languages and hide them
     in others. Where a letter stands three times or more in a row, each once with one and once with two of it."""
     found = [plain(text)]
-    if not found[0].isascii() and (bare := plain(text, accents=False)) != found[0]:
+    if not found[0].isascii() and (bare := UNSEEN.sub("", unicodedata.normalize("NFKD", found[0]))) != found[0]:
         found.append(bare)
-    if any(map(REPEATED.search, found)):
+    if any(_shape(low)[1] for low in found):
         found = list(dict.fromkeys(REPEATED.sub(r, low) for low in found for r in (r"\1", r"\1\1")))
     return found
 
@@ -61,7 +79,7 @@ def views(text: str) -> list[str]:
 def fold(low: str) -> str:
     """Plain text with look-alike letters and digit substitutions folded, character for character, so that places in
     both agree."""
-    return low.translate(FOLD)
+    return FOLDED.sub(lambda m: FOLD[m.group()], low)
 
 
 def words(text: str) -> set[str]:
