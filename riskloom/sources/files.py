@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
+import os
+import shutil
+import tempfile
 import tomllib
+import uuid
+import zipfile
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.lineage import shared_path
 from riskloom.operators.timeline import dedup
 from riskloom.schemas import ENVELOPE, MANIFEST, STATUS_FILE
 
@@ -96,6 +104,60 @@ def merge_edges(spark: SparkSession, existing: DataFrame | None, updates: DataFr
     return spark.read.schema(both.schema).parquet(path)
 
 
-def relational(spark: SparkSession, url: str, table: str, column: str, lower: int, upper: int, parts: int, **properties) -> DataFrame:
-    """A database table read in parallel slices of a numeric column."""
+#: The embedded database that comes with Spark.
+EMBEDDED = "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+
+
+def embedded(df: DataFrame, table: str, key: str) -> str:
+    """URL of a read-only database, for driver class EMBEDDED, of one table of numbers and strings, indexed by ``key``.
+
+    An embedded database is open in one process only, so tasks can neither fill nor share the driver's. Executors write
+    the rows as text to the shared folder, the driver loads them file by file, and the database goes to every process as
+    a jar, read in place from the class path. The jar lasts as long as the application."""
+    spark: SparkSession = df.sparkSession
+    jvm, home, name = spark.sparkContext._jvm, os.path.realpath(tempfile.mkdtemp(prefix="riskloom-")), f"db{uuid.uuid4().hex}"
+    atexit.register(shutil.rmtree, home, ignore_errors=True)
+    url, text, jar = f"jdbc:derby:{home}/{name}", shared_path(spark, "db"), f"{home}/{name}.jar"
+    df.limit(0).write.jdbc(f"{url};create=true", table, properties={"driver": EMBEDDED})  # makes the table; no rows, so no task
+    quoted = [F.concat(F.lit('"'), F.replace(F.col(c), F.lit('"'), F.lit('""')), F.lit('"')) if kind == "string" else F.col(c).cast("string") for c, kind in df.dtypes]
+    df.select(F.concat_ws(",", *(F.coalesce(q, F.lit("")) for q in quoted))).write.text(text, compression="none", lineSep="\n")
+    Path = jvm.org.apache.hadoop.fs.Path
+    store = Path(text).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    conn = jvm.java.sql.DriverManager.getConnection(url)
+    try:
+        load = conn.prepareStatement("CALL SYSCS_UTIL.SYSCS_IMPORT_TABLE(NULL, ?, ?, ',', '\"', 'UTF-8', 0)")
+        load.setString(1, table.upper())
+        load.setString(2, f"{home}/part")
+        for part in store.globStatus(Path(f"{text}/part-*")):
+            store.copyToLocalFile(False, part.getPath(), Path(f"file://{home}/part"), True)
+            load.execute()
+        conn.createStatement().execute(f'CREATE INDEX {table}_key ON {table} ("{key}")')
+    finally:
+        conn.close()
+        store.delete(Path(text), True)
+    try:
+        jvm.java.sql.DriverManager.getConnection(f"{url};shutdown=true")
+    except Py4JJavaError as e:
+        if e.java_exception.getSQLState() != "08006":  # which says that it is shut down
+            raise
+    with zipfile.ZipFile(jar, "w", zipfile.ZIP_STORED) as z:  # stored, so that a page is reached without inflating those before it
+        for folder, _, names in os.walk(f"{home}/{name}"):
+            for n in names:
+                z.write(os.path.join(folder, n), os.path.relpath(os.path.join(folder, n), home))
+    shutil.rmtree(f"{home}/{name}")
+    if os.path.exists(f"{home}/part"):
+        os.remove(f"{home}/part")
+    spark.sql(f"ADD JAR '{jar}'")
+    return f"jdbc:derby:classpath:{name}"
+
+
+def relational(spark: SparkSession, url: str, table: str, column: str, lower: int | None, upper: int | None, parts: int, **properties) -> DataFrame:
+    """A database table read in parallel slices of a numeric column. Bounds that are None are the column's least and
+    greatest value; they only place the slices, rows beyond them and without a value are read too."""
+    if lower is None or upper is None:
+        quoted = spark.sparkContext._jvm.org.apache.spark.sql.jdbc.JdbcDialects.get(url).quoteIdentifier(column)
+        least, greatest = spark.read.jdbc(url, f"(SELECT min({quoted}) AS lo, max({quoted}) AS hi FROM {table}) b", properties=properties).first()
+        if least is None:  # no value at all
+            return spark.read.jdbc(url, table, properties=properties)
+        lower, upper = least if lower is None else lower, greatest if upper is None else upper
     return spark.read.jdbc(url, table, column=column, lowerBound=lower, upperBound=upper, numPartitions=parts, properties=properties)
