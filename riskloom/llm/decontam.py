@@ -7,6 +7,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -26,6 +27,10 @@ NUM, UNIT, NAME = 1, 2, 3
 VOCABULARY = 300_000
 CROWD = 64  # items that share a window before it waits for another window of its item
 MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+WORD_BYTES = 32  # of an item's words that go to the tasks, on average
+# letters that Arrow and Python may fold differently, or that are capitals without a small letter
+ODD = r"[\x{130}\x{3A3}\x{3D2}-\x{3D4}\x{1C80}-\x{1C8F}\x{2100}-\x{214F}\x{A7C0}-\x{A7FF}\x{10000}-\x{10FFFF}]"
+DIGIT, SPLIT = r"\p{Nd}", r"\p{Nd}[A-Za-z°%]"
 
 
 class Tokens(NamedTuple):
@@ -121,6 +126,60 @@ class Wanted:
         return place[self.hashes[near] == values[place]] if len(self.hashes) else place[:0]
 
 
+def pair(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hashes of words side by side."""
+    return ((left * MULTIPLIER) ^ right) * MULTIPLIER
+
+
+class Sieve:
+    """Rules out texts that can't have a window of an item, a batch at once and without a look at each token in Python.
+    In such a window every token is a word of some item or may be a slot, and words that stand side by side do so in
+    some item. What can't be told here for certain counts as fitting, and a text that may have a window is read
+    token by token, so nothing is lost."""
+
+    def __init__(self, words: pa.Array, hashes: np.ndarray, pairs: np.ndarray, width: int, widths: list[int]):
+        self.words, self.hashes, self.pairs = words, np.append(hashes, np.uint64(0)), Wanted(pairs)
+        self.width, self.widths = width, sorted(widths)
+
+    def _in_a_row(self, fits: np.ndarray, words: np.ndarray, sizes: np.ndarray, firsts: np.ndarray, least: int) -> np.ndarray:
+        """Where stretches of fitting tokens that make up ``least`` begin; ``words`` is 0 for what may stand beside all."""
+        begins = ~fits
+        begins[firsts] = True
+        known = words != 0
+        sides = np.flatnonzero(known[1:] & known[:-1])
+        apart = np.ones(len(sides), bool)
+        apart[self.pairs.among(pair(words[sides], words[sides + 1]))] = False
+        begins[sides[apart] + 1] = True
+        begins = np.flatnonzero(begins)
+        return begins[np.add.reduceat(np.where(fits, sizes, 0), begins) >= least]
+
+    def among(self, texts: pa.Array) -> list[int]:
+        """Places of the texts that may have a window."""
+        split = pc.utf8_split_whitespace(texts)
+        tokens = split.flatten().dictionary_encode()
+        spellings, at = tokens.dictionary, tokens.indices.to_numpy()
+        core = pc.utf8_trim(spellings, STRIP)
+        low = pc.utf8_lower(core)
+        flags = lambda a: a.to_numpy(zero_copy_only=False)
+        place = flags(pc.fill_null(pc.index_in(low, value_set=self.words.cast(low.type)), -1))
+        digit = flags(pc.match_substring_regex(core, DIGIT))
+        # tokens that a joined number and unit make beyond one
+        more = np.zeros(len(core), np.int64)
+        more[digit] = flags(pc.count_substring_regex(spellings.filter(pa.array(digit)), SPLIT))
+        odd = flags(pc.match_substring_regex(core, ODD)) | (more > 0)
+        named = flags(pc.and_(pc.not_equal(core, low), pc.equal(pc.utf8_slice_codeunits(core, 1), pc.utf8_slice_codeunits(low, 1))))
+        slot = odd | digit | named | flags(pc.is_in(low, value_set=pa.array(sorted(UNITS), low.type)))
+        keep = flags(pc.not_equal(core, ""))[at]
+        at, offsets = at[keep], np.concatenate([[0], np.cumsum(keep)])[split.offsets.to_numpy()]
+        if not len(at):
+            return []
+        firsts, found = offsets[:-1][offsets[:-1] < len(at)], []
+        for wild, least in [(slot, self.width), *[(odd, w) for w in self.widths[:1]]]:
+            fits, words = wild | (place >= 0), np.where(wild, np.uint64(0), self.hashes[place])
+            found.append(self._in_a_row(fits[at], words[at], (more + 1)[at], firsts, least))
+        return np.unique(np.searchsorted(offsets, np.concatenate(found), "right") - 1).tolist()
+
+
 def _slots(tokens: Tokens, kinds, place: int, width: int) -> list[str]:
     return [tokens.raw[tokens.at[i]].strip(STRIP).lower() for i in range(place, place + width) if kinds[i]]
 
@@ -177,16 +236,31 @@ def _item_windows(width: int, literals: int):
     return run
 
 
-def _text_windows(width: int, literals: int, widths: list[int], hashes):
+def _item_words(batches):
+    """(word, hash, pair) of the tokens of items; ``pair`` is null for the last one."""
+    canonical = Canonical()
+    for batch in batches:
+        words, hashes, pairs = [], [], []
+        for text in batch.column(2).to_pylist():
+            tokens = canonical.tokens(text)
+            words += [tokens.raw[i].strip(STRIP).lower() for i in tokens.at]
+            hashes += tokens.words.view(np.int64).tolist()
+            pairs += [*pair(tokens.words[:-1], tokens.words[1:]).view(np.int64).tolist(), None][: len(tokens.words)]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(hashes, pa.int64()), pa.array(pairs, pa.int64())], names=["word", "hash", "pair"])
+
+
+def _text_windows(width: int, literals: int, widths: list[int], hashes, spelled=None):
     """Window rows of documents; ``hashes`` (broadcast, sorted) keeps only windows that some item has, ``widths`` are
-    those of items that are matched by their words."""
+    those of items that are matched by their words; ``spelled`` (broadcast) are the items' words, their hashes, and
+    those of their pairs, sorted, and spares most texts the search."""
 
     def run(batches):
         canonical, wanted = Canonical(), None if hashes is None else Wanted(hashes.value)
+        sieve = None if spelled is None else Sieve(*spelled.value, width, widths)
         for batch in batches:
-            rows = _Rows()
-            for row, text in enumerate(batch.column(2).to_pylist()):
-                tokens = canonical.tokens(text)
+            rows, texts = _Rows(), batch.column(2)
+            for row in sieve.among(texts) if sieve else range(len(texts)):
+                tokens = canonical.tokens(texts[row].as_py())
                 use, values, typed = _found(tokens, width, literals)
                 if wanted:
                     hit = wanted.among(values)
@@ -203,6 +277,18 @@ def _text_windows(width: int, literals: int, widths: list[int], hashes):
     return run
 
 
+def _spelled(rows: DataFrame, limit: int):
+    """What ``Sieve`` needs of the items ``rows`` (id, h, t), broadcast, or None if that is more than ``limit`` allows."""
+    tokens = materialize(rows.transform(in_arrow, _item_words, "word string, hash long, pair long"), "item-words")
+    words, pairs = tokens.select("word", "hash").distinct(), tokens.select("pair").filter("pair is not null").distinct()
+    size = words.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("word")).alias("bytes")).first()
+    if size["n"] > limit or (size["bytes"] or 0) > limit * WORD_BYTES or pairs.limit(limit + 1).count() > limit:
+        return None
+    listed, numbers = words.toArrow(), lambda column: column.to_numpy().view(np.uint64)
+    value = listed.column("word").combine_chunks(), numbers(listed.column("hash")), np.sort(numbers(pairs.toArrow().column("pair")))
+    return rows.sparkSession.sparkContext.broadcast(value)
+
+
 def _windows_of(rows: DataFrame, function) -> DataFrame:
     """``rows`` (id, h, t) to one row per window."""
     return rows.transform(in_arrow, function, f"id {rows.schema['id'].dataType.simpleString()}, h long, place int, window long, slots array<string>, words int")
@@ -236,24 +322,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id
     benchmark item of one common word is thus found wherever that word stands. Items of only symbols match nothing.
 
     The item windows, once counted, go to the tasks as a table of hashes up to ``limit`` and drop other windows at
-    the source; beyond that every window goes through the same join by shuffle. A window that very many items share
+    the source, and with the items' words and which of them stand side by side most texts are ruled out before they are
+    searched; beyond that every window goes through the same join by shuffle. A window that very many items share
     makes no pairs by itself where its item has rarer ones. Null texts count as empty and match nothing, items given
     twice match under both ids, repeated rows share a result, empty tables give an empty one, texts are read whole, and
     no other columns of either table are read."""
     texts = benchmark.select(F.col("item_id"), row_hash("text").alias("item"), text_or_empty("text").alias("t"))
-    items = texts.groupBy(F.col("item").alias("id")).agg(F.first("t").alias("t")).select("id", F.col("id").alias("h"), "t")
-    items = _windows_of(items, _item_windows(width, literals)).select(F.col("id").alias("item"), F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"), "words")
+    whole_items = texts.groupBy(F.col("item").alias("id")).agg(F.first("t").alias("t")).select("id", F.col("id").alias("h"), "t")
+    items = _windows_of(whole_items, _item_windows(width, literals)).select(F.col("id").alias("item"), F.col("place").alias("item_place"), "window", F.col("slots").alias("item_slots"), "words")
     items = materialize(items, "item-windows")
     sizes = items.groupBy("item").agg(F.count_distinct("item_place").alias("item_windows"))
     sizes = sizes.withColumn("need", F.least(F.lit(run - width + 1), F.greatest(F.ceil(F.col("item_windows") * share), F.least(F.lit(2), F.col("item_windows")))))
     sizes = materialize(sizes, "item-sizes")
     widths = sorted(r["words"] for r in items.select("words").filter("words > 0").distinct().collect())  # at most ``width`` numbers
     keys = items.select("window").distinct()
-    hashes = None
+    hashes = spelled = None
     if keys.limit(limit + 1).count() <= limit:
+        spelled = _spelled(whole_items, limit)
         hashes = docs.sparkSession.sparkContext.broadcast(np.sort(keys.toPandas()["window"].to_numpy(dtype=np.int64).view(np.uint64)))
     rows = docs.select(F.col(id_column).alias("id"), row_hash(text_column).alias("h"), text_or_empty(text_column).alias("t"))
-    found = materialize(_windows_of(rows, _text_windows(width, literals, widths, hashes)), "windows")
+    found = materialize(_windows_of(rows, _text_windows(width, literals, widths, hashes, spelled)), "windows")
 
     led = materialize(_leading(items, sizes), "leading-windows")
     met = lambda texts_, side: texts_.join(side, (F.col("window") == F.col("i_window")) & (F.col("words") == F.col("i_words"))).drop("i_window", "i_words")

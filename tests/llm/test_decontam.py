@@ -1,8 +1,13 @@
 import os
 import random
+import re
 import subprocess
 import sys
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 from riskloom.llm import decontam
 
 QUESTION = "If Alice buys 12 apples at 3 dollars each and Bob sells 5 pears at 3 dollars, how much money does Alice have left over in the end?"
@@ -89,6 +94,76 @@ def test_a_phrase_that_many_items_share(spark, docs, monkeypatch):
     assert found(table, bench) == want
 
 
+class Held:
+    """A broadcast that stays here."""
+
+    def __init__(self, value):
+        self.value = value
+
+
+def batch(texts):
+    ids = pa.array(range(len(texts)), pa.int64())
+    return pa.RecordBatch.from_arrays([ids, ids, pa.array(texts, pa.string())], names=["id", "h", "t"])
+
+
+def searched(bench, texts, monkeypatch):
+    """Window rows of ``texts`` with the sieve and without it, and the texts that the sieve leaves to search."""
+    rows = pa.Table.from_batches(decontam._item_windows(decontam.WIDTH, decontam.LITERALS)([batch(bench)]))
+    words = pa.Table.from_batches(decontam._item_words([batch(bench)]))
+    hashes = dict(zip(words["word"].to_pylist(), words["hash"].to_pylist(), strict=True))
+    spelled = pa.array(list(hashes), pa.string()), np.array(list(hashes.values()), np.int64).view(np.uint64), np.unique(words["pair"].drop_null().to_numpy().view(np.uint64))
+    widths = sorted(set(rows["words"].to_pylist()) - {0})
+    wanted = Held(np.unique(rows["window"].to_numpy().view(np.uint64)))
+    read, tokens = [], decontam.Canonical.tokens
+    plain = pa.Table.from_batches(decontam._text_windows(decontam.WIDTH, decontam.LITERALS, widths, wanted)([batch(texts)]))
+    with monkeypatch.context() as patched:
+        patched.setattr(decontam.Canonical, "tokens", lambda self, text: read.append(text) or tokens(self, text))
+        sieved = pa.Table.from_batches(decontam._text_windows(decontam.WIDTH, decontam.LITERALS, widths, wanted, Held(spelled))([batch(texts)]))
+    return plain, sieved, read
+
+
+def test_texts_of_other_words_are_not_searched(monkeypatch):
+    """Nor are those of an item's words in another order; the cost of reading token by token is that of few texts."""
+    rng = random.Random(10)
+    bench = [" ".join(rng.choice("bcdfglmnprst") + rng.choice("aeiou") + rng.choice("bcdfglmnprst") for _ in range(30)) for _ in range(40)]
+    own = sorted({w for t in bench for w in t.split()})
+    texts = [" ".join(rng.choice(own) for _ in range(200)) for _ in range(200)] + [" ".join(f"zz{chr(97 + rng.randrange(26))}" for _ in range(200)) for _ in range(200)]
+    texts += [f"Intro. {t} More." for t in bench] + ["", "  ", "... !!"]
+    plain, sieved, read = searched(bench, texts, monkeypatch)
+    assert sieved.equals(plain) and set(sieved["id"].to_pylist()) == set(range(400, 440))
+    assert len(read) < 50
+
+
+def test_the_sieve_loses_nothing(monkeypatch):
+    """Copies with other case, numbers, units, names, marks and joined tokens, beside letters that fold in odd ways."""
+    rng = random.Random(11)
+    odd = "ΟΔΟΣ is İstanbul or ℂarl at Ⅻth and 𝒜bc Ǆungla ßtraße ÉTÉ Ωmega of ﬁne STRASSE \u0663kg x2 5kg 12% A1b2c3 covid19 ² ①a"
+    bench = [QUESTION, OTHER, f"{odd} {OTHER}", odd, "What is 12 + 5 * 3 - 7?", "Hamlet", "Who wrote Hamlet?", "in 5kg", "", "- *", "It weighs 5kg or 12 lbs, says Ann, and 7% of all that is left over goes to Bob."]
+
+    def changed(text):
+        words = []
+        for w in text.split():
+            w = rng.choice([w, w, w, w, w.upper(), w.title(), w.lower(), f"«{w}»,", f"{w}.", re.sub(r"\d+", str(rng.randrange(99)), w)])
+            words += [w] + rng.choice([[], [], [], [], ["--"], ["7"], ["and"]] if rng.random() < 0.3 else [[]])
+        return rng.choice([" ", "\u00a0", "\n\u2003"]).join(words)
+
+    texts = [f"{changed(OTHER[:rng.randrange(60)])} {changed(rng.choice(bench))} {changed(QUESTION[:rng.randrange(60)])}" for _ in range(1500)] + bench
+    for some in (bench, [t for t in bench if len(t.split()) > 12]):
+        plain, sieved, _ = searched(some, texts, monkeypatch)
+        assert plain.num_rows > 1500 and sieved.equals(plain)
+
+
+def test_letters_that_arrow_and_python_take_alike():
+    """What the sieve builds on, for every letter that it does not leave to the search."""
+    letters = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    table = pa.array(letters, pa.string())
+    assert [len(s) == 2 for s in pc.utf8_split_whitespace(pa.array([f"a{c}b" for c in letters])).to_pylist()] == [c.isspace() for c in letters]
+    assert pc.match_substring_regex(table, decontam.DIGIT).to_pylist() == [bool(re.match(r"\d", c)) for c in letters]
+    sure = [not o for o in pc.match_substring_regex(table, decontam.ODD).to_pylist()]
+    assert [c for c, low, s in zip(letters, pc.utf8_lower(table).to_pylist(), sure, strict=True) if s and (low != c.lower() or c.isupper() and low == c)] == []
+    assert pc.utf8_lower(pa.array(["ΑΣ"])).to_pylist() != ["ΑΣ".lower()] and not sure[letters.index("Σ")]
+
+
 LONE_WORKERS = """
 import sys
 sys.path.insert(0, {root!r})
